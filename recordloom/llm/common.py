@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,23 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+@contextmanager
+def cleaned_shuffles(spark: SparkSession):
+    """Queries that run inside drop their shuffle files when they end, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows written as Parquet to the shared folder and read again: lineage ends here and a lost executor costs nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with cleaned_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
