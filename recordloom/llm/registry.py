@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, packing, quality_rules, resampling, sharding, simhash, suffix_dedup, topk_search, url_filter
+from . import chat_format, packing, quality_rules, resampling, sentencepiece_nbest, sharding, simhash, suffix_dedup, topk_search, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": sentencepiece_nbest.op1_sentencepiece,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_importance_resampling": resampling.op3_importance_resampling,
         "op4_quality_rules": quality_rules.op4_quality_rules,
