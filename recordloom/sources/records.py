@@ -61,11 +61,11 @@ def read_raw_lines(spark: SparkSession, path) -> DataFrame:
 
 def read_csv_rows(spark: SparkSession, path, width: int) -> DataFrame:
     """_c0, _c1, ...: rows of the given number of strings, by Spark's own reader. Empty cells are empty strings; a row of
-    another width fails the job (one column more is read, to see it)."""
+    another width fails the job: Spark marks it as corrupt."""
     names = [f"_c{k}" for k in range(width)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "more", "_corrupt"]])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt"]])
     options = {"header": False, "multiLine": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "emptyValue": "", "nullValue": "\0"}
     rows = spark.read.schema(schema).options(**options).csv(path)
-    wrong = F.col("more").isNotNull() | F.col(names[-1]).isNull()
+    wrong = F.col("_corrupt").isNotNull()
     cells = [F.when(wrong, F.raise_error(F.lit(f"a row is not {width} cells wide"))).otherwise(F.coalesce(n, F.lit(""))).alias(n) for n in names]
     return rows.select(cells)
