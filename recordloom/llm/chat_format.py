@@ -83,7 +83,7 @@ def format_conversations(turns: DataFrame, *, columns=("conv_id", "turn", "role"
     streamed in order through one task for a conversation: without texts, memory holds one turn and running hashes.
     """
     conv, turn, role, text = columns
-    rows = pick(turns, conv_id=F.col(f"`{conv}`").cast("long"), turn=turn, role=role, text=text)
+    rows = pick(turns, conv_id=(conv, "long"), turn=turn, role=role, text=text)
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     schema += ", formatted string, loss_spans array<array<long>>" * with_text

@@ -60,9 +60,28 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ... in their order: names that clash, differ in case only or hold dots can't do harm."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def pick(df: DataFrame, **columns) -> DataFrame:
-    """Only the named columns, under fixed names: other columns of the input, whatever they are called, can't clash."""
-    return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
+    """Only the named columns, each a name or (name, type to cast to), under fixed names. Names are matched exactly."""
+    names, plain = df.columns, numbered(df)
+    wanted = {k: (c, None) if isinstance(c, str) else c for k, c in columns.items()}
+    return plain.select(*[(F.col(f"c{names.index(c)}").cast(t) if t else F.col(f"c{names.index(c)}")).alias(k) for k, (c, t) in wanted.items()])
+
+
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """mapInArrow of all columns, numbered, to the same columns."""
+    plain = numbered(df)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is among ids (one column); a null id is if null is."""
+    at, plain = df.columns.index(id_col), numbered(df)
+    return plain.join(ids.toDF("kept_id"), F.col(f"c{at}").eqNullSafe(F.col("kept_id")), "left_semi").toDF(*df.columns)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +108,3 @@ def blocks(off: np.ndarray, most: int):
         to = min(n, max(to, at + 1))
         yield at, to
         at = to
-
-
-def long_key(name: str = "doc_id"):
-    """An id as a long that is never null: null comes before every id."""
-    return F.coalesce(F.col(name).cast("long"), F.lit(-(2**63)))

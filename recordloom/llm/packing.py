@@ -228,7 +228,7 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, id_col: str = "d
         if rows:
             yield flush()
 
-    return pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col).mapInArrow(run, FIELDS)
+    return pick(docs, doc_id=(id_col, "long"), text=text_col).mapInArrow(run, FIELDS)
 
 
 def digest(packed: DataFrame) -> DataFrame:

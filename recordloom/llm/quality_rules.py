@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import blocks, pick, table, text_bytes
+from .common import blocks, map_rows, pick, table, text_bytes
 
 #: Share of a text's word characters that may lie in repeated n-grams of n words, by n, in percent.
 COVERAGE = {5: 30, 7: 28, 10: 25}
@@ -91,7 +91,7 @@ def repetition_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
                 found = measure(raw[off[a] : off[b]], off[a : b + 1] - off[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(found[n], pa.int64()) for n in names)], schema=schema)
 
-    kept = pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
+    kept = pick(docs, doc_id=(id_col, "long"), text=text_col)
     return kept.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
@@ -135,7 +135,7 @@ def filter_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             keep = [kept_mask(measure(raw[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in blocks(off, BLOCK)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def _coverage_sql(n: int) -> str:

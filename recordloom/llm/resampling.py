@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import blocks, pick, stored, table, text_bytes
+from .common import blocks, keep_ids, pick, stored, table, text_bytes
 
 #: Hash buckets, one half for unigrams and one for bigrams.
 BUCKETS = 1 << 19
@@ -146,7 +146,7 @@ def labelled(labels: DataFrame) -> DataFrame:
 
     A doc_id labelled more than once counts once, as target only if each of its rows says so. Null labels don't count.
     """
-    rows = pick(labels, doc_id=F.col("doc_id").cast("long"), good=F.expr("quality = 1 AND toxic = 0")).where("doc_id IS NOT NULL AND good IS NOT NULL")
+    rows = pick(labels, doc_id=("doc_id", "long"), quality="quality", toxic="toxic").select("doc_id", F.expr("quality = 1 AND toxic = 0").alias("good")).where("doc_id IS NOT NULL AND good IS NOT NULL")
     return rows.groupBy("doc_id").agg(F.min("good").alias("is_target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
 
 
@@ -161,7 +161,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     known = F.broadcast(stored(labelled(labels), "labels")[0])  # at most MOST_LABELS rows
-    rows = pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col).join(known, "doc_id", "left").select("doc_id", "text", "is_target")
+    rows = pick(docs, doc_id=(id_col, "long"), text=text_col).join(known, "doc_id", "left").select("doc_id", "text", "is_target")
     model = fit(ngram_counts(rows.select("text", "is_target")))
     scored, _ = stored(log_weights(rows, model).withColumn("key", F.floor(F.col("weight") / TEMPERATURE).cast("long") + gumbel()), "weights")
     seen = [(x.weight, x.is_target) for x in scored.where("is_target IS NOT NULL").dropDuplicates(["doc_id"]).select("weight", "is_target").collect()]
@@ -181,5 +181,4 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the resampling draws."""
-    drawn = resample(docs, table(spark, sf_dir, "labels")).where("selected").select(F.col("doc_id").alias("drawn_id")).distinct()
-    return docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("drawn_id")), "left_semi")
+    return keep_ids(docs, resample(docs, table(spark, sf_dir, "labels")).where("selected").select("doc_id").distinct())

@@ -320,7 +320,7 @@ def encode(docs: DataFrame, *, path: str | None = None, n: int = N_BEST, id_col:
                 )
 
     schema = "doc_id long, n_pieces long, score double, ids array<int>, nbest array<struct<score: double, edits: array<struct<at: int, drop: int, ids: array<int>>>>>, round_trip boolean"
-    return pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col).mapInArrow(run, schema)
+    return pick(docs, doc_id=(id_col, "long"), text=text_col).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, *, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -333,7 +333,7 @@ def decode(rows: DataFrame, *, path: str | None = None, id_col: str = "doc_id",
             texts = [pieces.decode(ids) if ids else "" for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return pick(rows, doc_id=F.col(f"`{id_col}`").cast("long"), ids=ids_col).mapInArrow(run, "doc_id long, text string")
+    return pick(rows, doc_id=(id_col, "long"), ids=ids_col).mapInArrow(run, "doc_id long, text string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

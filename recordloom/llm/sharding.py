@@ -132,4 +132,4 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, run, n_bytes and text_md5 of every document, read back from the compacted shards."""
     docs = table(spark, sf_dir, "documents")
     store = shard(docs, scratch(spark, "shards"))
-    return pick(store.rows(), doc_id="doc_id", run=RUN, n_bytes=F.octet_length("text"), text_md5=F.md5("text"))
+    return pick(store.rows(), doc_id="doc_id", run=RUN, text="text").select("doc_id", "run", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("text_md5"))

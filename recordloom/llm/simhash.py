@@ -9,12 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import pick, remove, stored, table
+from .common import keep_ids, pick, remove, stored, table
 
 #: Production contract: shingles of so many words, links at so many differing bits.
 SHINGLE, BITS = 3, 2
-#: The pipeline's stage: word shingles of five words, as its contract says.
-STAGE_SHINGLE = 5
 SEED = 42
 CHUNK = 1 << 15
 
@@ -45,7 +43,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_
             fps = np.fromiter((fingerprint(v, shingle) if (v := x.as_buffer()) is not None and (v := v.to_pybytes()) else 0 for x in batch.column(1).cast(pa.large_binary())), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col).mapInArrow(run, "doc_id long, fp long")
+    return pick(docs, doc_id=(id_col, "long"), text=text_col).mapInArrow(run, "doc_id long, fp long")
 
 
 #: Grid points of one long: 16 segments of four bits, one bit count (0 to 4) to a nibble.
@@ -63,34 +61,53 @@ def cells(bands) -> str:
     return f"concat({', '.join(near)})"
 
 
-def links(points: DataFrame, bands, verified) -> DataFrame:
+def links(points: DataFrame, bands, verified, confirmed=None) -> DataFrame:
     """Links (u, v), u > v, that join the ids of all points whose fingerprints are linked, directly or over others.
 
     points: id (distinct, not null) and whatever verified(left, right) compares, among it the longs that bands read.
+    confirmed, if given, keeps of distinct verified pairs (u, v) those that are links.
     The Manhattan distance of two grid points never exceeds the Hamming distance of their fingerprints. Points within
     two of each other share a cell, a grid point within one step of both, so cells hold all candidates.
 
-    A cell may hold any number of points. It is sorted, not collected: each member is compared with the cell's first.
-    Only members that this leaves in another component than the first's are then compared with the whole cell, so a
-    cell in which all are alike costs its size and not its square, and no pair across components is left out.
+    A cell may hold any number of points. It is sorted, not collected: each member is compared with the cell's first and,
+    where links have to be confirmed, with the member before it if these are in different components. Only members
+    that this leaves in another component than the first's are then compared with the whole cell, so a cell in which
+    all are alike costs its size and not its square, and no pair across components is left out.
     """
     own = [c for c in points.columns if c != "id"]
     dealt = points.withColumn("cell", F.explode(F.expr(cells(bands))))
     w = Window.partitionBy("cell").orderBy("id")
     first = F.first(F.struct("id", *own)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    shared = dealt.select("cell", "id", *own, first.alias("first"), F.lead("id").over(w).isNotNull().alias("more")).where("more OR id != first.id").drop("more")
-    shared, at = stored(shared, "cells")
-    a = shared.where("id != first.id").select("id", F.col("first.id").alias("v"), *[F.col(c).alias(f"l_{c}") for c in own], *[F.col(f"first.{c}").alias(f"r_{c}") for c in own])
-    star = a.where(verified("l_", "r_")).select(F.col("id").alias("u"), "v").distinct()
-    roots, _ = stored(components(star), "roots")
-    named = shared.join(roots.select(F.col("u").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    heads = roots.select(F.col("u").alias("head"), F.col("root").alias("head_root"))
-    named = named.withColumn("head", F.col("first.id")).drop("first").join(heads, "head", "left").withColumn("head_root", F.coalesce("head_root", "head")).drop("head")
+    member = F.struct("id", *own)
+    shared = dealt.select("cell", "id", *own, first.alias("first"), F.lag(member).over(w).alias("before"), F.lead("id").over(w).isNotNull().alias("more")).where("more OR id != first.id").drop("more")
+    shared, _ = stored(shared, "cells")
+
+    def pairs(other: str) -> DataFrame:
+        sides = shared.where(f"{other} IS NOT NULL AND id != {other}.id").select("id", F.col(f"{other}.id").alias("other"), *[F.col(c).alias(f"l_{c}") for c in own], *[F.col(f"{other}.{c}").alias(f"r_{c}") for c in own])
+        return sides.where(verified("l_", "r_")).select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
+
+    def settle(found: DataFrame) -> DataFrame:
+        return stored(components(confirmed(stored(found, "pairs")[0]) if confirmed else found), "roots")[0]
+
+    def rooted(rows: DataFrame, id_col: str, root_col: str, roots: DataFrame) -> DataFrame:
+        side = roots.select(F.col("u").alias("rooted_u"), F.col("root").alias("rooted_root"))
+        return rows.join(side, F.col(id_col) == F.col("rooted_u"), "left").withColumn(root_col, F.coalesce("rooted_root", id_col)).drop("rooted_u", "rooted_root")
+
+    def edges(roots: DataFrame) -> DataFrame:
+        return roots.select("u", F.col("root").alias("v")).where("u > v")
+
+    roots = settle(pairs("first"))
+    if confirmed:
+        apart = rooted(rooted(pairs("before"), "u", "u_root", roots), "v", "v_root", roots).where("u_root != v_root").select("u", "v")
+        roots, _ = stored(components(edges(roots).unionByName(confirmed(stored(apart, "pairs")[0]))), "roots")
+    named = rooted(rooted(shared.withColumn("head", F.col("first.id")).drop("first", "before"), "id", "root", roots), "head", "head_root", roots).drop("head")
     named, _ = stored(named, "named")
-    odd = named.where("root != head_root").select("cell", F.col("id").alias("a"), F.col("root").alias("a_root"), *[F.col(c).alias(f"l_{c}") for c in own])
+    odd = named.where("root != head_root").select(F.col("cell").alias("odd_cell"), F.col("id").alias("a"), F.col("root").alias("a_root"), *[F.col(c).alias(f"l_{c}") for c in own])
     rest = named.select("cell", F.col("id").alias("b"), F.col("root").alias("b_root"), *[F.col(c).alias(f"r_{c}") for c in own])
-    cross = odd.join(rest, (odd.cell == rest.cell) & (F.col("a_root") != F.col("b_root")) & verified("l_", "r_")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    return roots.select("u", F.col("root").alias("v")).where("u > v").unionByName(cross).distinct()
+    cross = odd.join(rest, (F.col("odd_cell") == F.col("cell")) & (F.col("a_root") != F.col("b_root")) & verified("l_", "r_")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    if confirmed:
+        cross = confirmed(stored(cross, "pairs")[0])
+    return edges(roots).unionByName(cross).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,10 +154,108 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The pipeline's stage. Candidates: 128 bits over a text's distinct words, in four bands of 32 bits with two-bit segments,
+#: of which one has at most two differing bits (so have all texts within eleven bits, and most others of that similarity);
+#: then 128 bits over its distinct five-word shingles, at most FAR differing. Links: exact Jaccard similarity of these
+#: shingles of at least SIMILAR fifths.
+STAGE_SHINGLE, FAR, SIMILAR = 5, 28, 4
+
+
+def _halves(word: str, tag: int) -> list:
+    """Two bands of a long: its halves, one bit count (0 to 2) to two bits."""
+    out = []
+    for k in (0, 1):
+        half = f"(shiftrightunsigned({word}, {32 * k}) & 4294967295L)"
+        out.append((f"shiftleft({tag + k}L, 40)", f"(({half} & 1431655765L) + (shiftrightunsigned({half}, 1) & 1431655765L))", 16, 2))
+    return out
+
+
+def _bits(features: set[bytes]) -> list[int]:
+    from xxhash import xxh128_digest
+
+    n, ones, items = len(features), np.zeros(128, np.int64), list(features)
+    for lo in range(0, n, CHUNK):
+        h = np.frombuffer(b"".join(map(xxh128_digest, items[lo : lo + CHUNK])), np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.int64).tolist()
+
+
+def shingles(words: list[bytes]) -> set[bytes]:
+    return set(map(b" ".join, zip(*(words[k:] for k in range(STAGE_SHINGLE))))) if len(words) >= STAGE_SHINGLE else {b" ".join(words)}
+
+
+def node_of(words: list[bytes]) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(b" ".join(words), SEED) - 2**63
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, node (a hash of the words in order), w0, w1 (over distinct words), s0, s1 (over distinct shingles)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x in batch.column(1).cast(pa.large_binary()):
+                words = (x.as_buffer().to_pybytes() if x.is_valid else b"").lower().split()
+                out.append([node_of(words), *_bits(set(words)), *_bits(shingles(words))])
+            cols = np.array(out, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in cols)], names=["doc_id", "node", "w0", "w1", "s0", "s1"])
+
+    return pick(docs, doc_id=("doc_id", "long"), text="text").mapInArrow(run, "doc_id long, node long, w0 long, w1 long, s0 long, s1 long")
+
+
+def similar(docs: DataFrame, nodes: DataFrame):
+    """Keeps pairs (u, v) of nodes whose texts' shingles have a Jaccard similarity of SIMILAR fifths or more, by comparing them all."""
+    from xxhash import xxh64_intdigest
+
+    def hashed(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part, named, sets = batch.slice(lo, 256), [], []
+                for node, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    words = (x or "").encode().lower().split()
+                    if node_of(words) == node:  # not another text under the same id
+                        named.append(node)
+                        sets.append(np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in shingles(words)), np.uint64)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
+
+    def compared(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(5 * both >= SIMILAR * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("u").alias("asked")).union(pairs.select("v")).distinct()
+        named = nodes.join(asked, nodes.id == F.col("asked"), "left_semi").select(F.col("id").alias("node"), "low")
+        texts = pick(docs, low=("doc_id", "long"), text="text")
+        grams = texts.join(named, "low").select("node", "text").mapInArrow(hashed, "node long, grams array<long>")
+        grams, _ = stored(grams, "grams")
+        left = pairs.join(grams.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u")
+        both = left.join(grams.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v").select("u", "v", "a", "b")
+        return stored(both.mapInArrow(compared, "u long, v long").distinct(), "confirmed")[0]
+
+    return confirmed
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id of documents with an id: texts of equal words, and texts whose five-word shingles are at
+    least 0.8 similar, are in one component, named by its smallest doc_id."""
+    found, _ = stored(sketches(docs).where("doc_id IS NOT NULL"), "sketches")
+    nodes, _ = stored(found.groupBy("node", "w0", "w1", "s0", "s1").agg(F.min("doc_id").alias("low")).withColumnRenamed("node", "id"), "nodes")
+    bands = _halves("w0", 0) + _halves("w1", 2)
+    far = lambda a, b: F.expr(f"bit_count({a}s0 ^ {b}s0) + bit_count({a}s1 ^ {b}s1) <= {FAR}")
+    near = links(nodes.drop("low"), bands, far, similar(docs, nodes))
+    named, _ = stored(nodes.join(components(near), nodes.id == F.col("u"), "left").select("id", "low", F.coalesce("root", "id").alias("root")), "named")
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return found.join(named.join(lowest, "root").select(F.col("id").alias("node"), "component_id"), "node").select("doc_id", "component_id")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest doc_id. Rows without an id, which no group can name, stay; of rows
-    repeated under one id, one stays."""
-    found = near_duplicates(docs, shingle=STAGE_SHINGLE)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL")
-    return named.join(keep, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group: that of the smallest doc_id, with each of its rows. Rows without an id, which no group can name, stay."""
+    keep = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return keep_ids(docs, keep.unionByName(spark.createDataFrame([(None,)], "doc_id long")))

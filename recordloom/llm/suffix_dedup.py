@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import blocks, pick, stored, table, text_bytes
+from .common import blocks, numbered, pick, stored, table, text_bytes
 
 LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1
@@ -346,9 +346,17 @@ def removals(docs: DataFrame, most_spans: int = MOST_SPANS) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """did, th, text of each document: a null id comes before all others; of one id and text, one row."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("did"), F.hash(text).alias("th"), text.alias("text"))
+    """The columns of docs, numbered, with did, th and body of each document: a null id comes before all others."""
+    body = F.coalesce(F.col(f"c{docs.columns.index(text_col)}"), F.lit(""))
+    did = F.coalesce(F.col(f"c{docs.columns.index(id_col)}").cast("long"), F.lit(-(2**63)))
+    return numbered(docs).withColumn("did", did).withColumn("th", F.hash(body)).withColumn("body", body)
+
+
+def with_runs(docs: DataFrame, id_col: str, text_col: str, most_spans: int = MOST_SPANS) -> DataFrame:
+    """The columns of docs, numbered, with runs, for each row the windows of its text that go."""
+    rows = keyed(docs, id_col, text_col)
+    found = removals(rows.select("did", "th", F.col("body").alias("text")), most_spans)
+    return rows.join(found, ["did", "th"], "left").drop("did", "th", "body")
 
 
 def kept_parts(size: int, runs) -> tuple[int, int, list[tuple[int, int]]]:
@@ -365,15 +373,6 @@ def kept_parts(size: int, runs) -> tuple[int, int, list[tuple[int, int]]]:
     return int((hi - lo).sum()), len(lo), stay
 
 
-def with_runs(docs: DataFrame, id_col: str, text_col: str, most_spans: int = MOST_SPANS) -> DataFrame:
-    """docs with runs, for each row the windows of its text that go."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    found = removals(keyed(docs, id_col, text_col), most_spans).select(F.col("did").alias("recordloom_did"), F.col("th").alias("recordloom_th"), F.col("runs").alias("recordloom_runs"))
-    marked = docs.withColumn("recordloom_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))).withColumn("recordloom_hash", F.hash(text))
-    on = (F.col("recordloom_id") == F.col("recordloom_did")) & (F.col("recordloom_hash") == F.col("recordloom_th"))
-    return marked.join(found, on, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "recordloom_runs")
-
-
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_spans: int = MOST_SPANS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) for each row of docs.
 
@@ -383,7 +382,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     earlier. Texts of under 100 bytes stay whole. Other columns are not read; no rows give no rows. Equal spans are told by
     64-bit hashes of span and anchor together, equal windows by their bytes.
     """
-    rows = with_runs(pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col), "doc_id", "text", most_spans)
+    rows = with_runs(pick(docs, doc_id=(id_col, "long"), text=text_col), "doc_id", "text", most_spans)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches):
@@ -408,18 +407,21 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the text that stays, and n_chars as its code points; a character that lost a byte goes too."""
     rows = with_runs(docs, "doc_id", "text")
-    names, at = docs.columns, docs.columns.index("text")
+    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    plain = numbered(docs).schema
 
     def run(batches):
         for batch in batches:
             raw, off = text_bytes(batch.column(at))
             texts = []
-            for k, runs in enumerate(batch.column(len(names))):
+            for k, runs in enumerate(batch.column(batch.num_columns - 1)):
                 own = raw[off[k] : off[k + 1]]
                 _, _, stay = kept_parts(len(own), runs.values)
                 texts.append(b"".join(own[a:b].tobytes() for a, b in stay).decode("utf-8", "ignore"))
-            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(k) for k, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            cols = list(batch.columns[:-1])
+            if count >= 0:
+                cols[count] = pa.array(map(len, texts), pa.int64()).cast(cols[count].type)
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=plain.names)
 
-    kept = rows.mapInArrow(run, docs.schema)
-    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else kept
+    return rows.mapInArrow(run, plain).toDF(*docs.columns)

@@ -118,7 +118,7 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = QUERY_EVERY, id_col: s
     """
     spark = vectors.sparkSession
     good = F.expr("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
-    rows = pick(vectors, vec_id=F.col(f"`{id_col}`").cast("long"), v=vector_col).where("vec_id IS NOT NULL AND v IS NOT NULL").where(good)
+    rows = pick(vectors, vec_id=(id_col, "long"), v=vector_col).where("vec_id IS NOT NULL AND v IS NOT NULL").where(good)
     rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     rows, _ = stored(rows, "vectors")
     n, asked = rows.count(), rows.where(F.col("vec_id") % every == 0).count()
