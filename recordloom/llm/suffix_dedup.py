@@ -26,7 +26,7 @@ LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1
 #: Bytes that the multikey quicksort compares before blind tries take over.
 SHALLOW = 24
-#: Different spans of one anchor that are sorted together; the windows of more are grouped by their bytes.
+#: Different spans of one anchor that are sorted together; the windows of more are grouped by hashes of their bytes.
 MOST_SPANS = 20_000
 #: Bytes of text worked on, and suffixes sorted, at once.
 BLOCK, SUFFIXES = 2 << 20, 1 << 19
@@ -168,7 +168,9 @@ def judged_spans(spans: DataFrame, most_spans: int = MOST_SPANS) -> DataFrame:
 
 
 def fetched(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """kind, ah, did, th, p, bytes: the bytes under the spans, or of each window of those that are grouped."""
+    """kind, ah, did, th, p, bytes: the bytes under the spans, or a 128-bit hash of each window of those that are grouped."""
+    from xxhash import xxh128_digest
+
     wanted = spans.groupBy("did", "th").agg(F.collect_list(F.struct("ah", F.col("place") * 4 + F.col("kind"))).alias("spans"))  # at most one for each window of a text
     joined = docs.join(wanted, ["did", "th"]).select("did", "th", "text", "spans")
     names = ["kind", "ah", "did", "th", "p", "bytes"]
@@ -180,7 +182,7 @@ def fetched(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 ah, code = got.field(0).to_numpy(), got.field(1).to_numpy()
                 kind, p, n = code % 4, code // 1024, code // 8 % 128
                 rows = [(k, h, x, raw[x : x + m + LENGTH - 1]) for k, h, x, m in zip(kind.tolist(), ah.tolist(), p.tolist(), n.tolist()) if k == SORTED]
-                rows += [(k, h, x + j, raw[x + j : x + j + LENGTH]) for k, h, x, m in zip(kind.tolist(), ah.tolist(), p.tolist(), n.tolist()) if k == GROUPED for j in range(m)]
+                rows += [(k, h, x + j, xxh128_digest(raw[x + j : x + j + LENGTH])) for k, h, x, m in zip(kind.tolist(), ah.tolist(), p.tolist(), n.tolist()) if k == GROUPED for j in range(m)]
                 for lo in range(0, len(rows), 1 << 14):
                     k, h, x, y = zip(*rows[lo : lo + (1 << 14)])
                     m = len(k)
@@ -380,7 +382,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     starts earlier: in a smaller doc_id, or before it in the same text. A null id is the smallest. Rows of the same id
     and text are one document, each with its result; of one id with several texts, the text of the smaller hash is
     earlier. Texts of under 100 bytes stay whole. Other columns are not read; no rows give no rows. Equal spans are told by
-    64-bit hashes of span and anchor together, equal windows by their bytes.
+    64-bit hashes of span and anchor together, equal windows by their bytes, or, of anchors with over most_spans
+    different spans, by 64-bit hashes of their anchors and 128-bit hashes of their bytes.
     """
     rows = with_runs(pick(docs, doc_id=(id_col, "long"), text=text_col), "doc_id", "text", most_spans)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
