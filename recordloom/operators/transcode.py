@@ -45,15 +45,14 @@ def encode_rows(df: DataFrame, fmt: str, *, rows_as: str = "map", **options) ->
 
     def run(batches):
         encode = encoder(fmt, options)
-        kinds = [(("s", f.name), f.dataType) for f in schema]
+        names, read = [("s", f.name) for f in schema], [V.reader(f.dataType) for f in schema]
         for batch in batches:
             for lo in range(0, batch.num_rows, per):
                 part = batch.slice(lo, per)
-                cells = [[V.from_column(x, kind) for x in c.to_pylist()] for c, (_, kind) in zip(part.columns, kinds)]
+                cells = [list(map(f, c.to_pylist())) for c, f in zip(part.columns, read)]
                 if rows_as == "sequence":
                     values = [("q", list(row)) for row in zip(*cells)]
                 else:
-                    names = [n for n, _ in kinds]
                     values = [("m", list(zip(names, row))) for row in zip(*cells)]
                 yield pa.RecordBatch.from_arrays([pa.array([b"".join(encode(values))], pa.binary())], names=["block"])
 
@@ -75,13 +74,13 @@ def decode_blocks(blocks: DataFrame, fmt: str, schema, **options) -> DataFrame:
 
 
 def _typed(values, schema: T.StructType):
-    arrow, held = to_arrow_schema(schema), []
+    arrow, held, cells = to_arrow_schema(schema), [], V.writer(schema)
 
     def rows():
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
 
     for v in values:
-        held.append(V.to_column(v, schema))
+        held.append(cells(v))
         if len(held) == BLOCK:
             yield rows()
             held.clear()
@@ -108,9 +107,9 @@ def encode(df: DataFrame) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        src, pos = f"task-{TaskContext.get().partitionId():08d}", 0
+        src, pos, read = f"task-{TaskContext.get().partitionId():08d}", 0, [V.reader(f.dataType) for f in schema]
         for batch in batches:
-            cells = [[V.from_column(x, f.dataType) for x in c.to_pylist()] for c, f in zip(batch.columns, schema)]
+            cells = [list(map(f, c.to_pylist())) for c, f in zip(batch.columns, read)]
             out = [V.to_envelope(("m", [(("s", f.name), x) for f, x in zip(schema, row)])) for row in zip(*cells)]
             yield pa.RecordBatch.from_arrays([pa.array([src] * len(out)), pa.array(range(pos, pos + len(out)), pa.int64()), pa.array(out, pa.string())], names=["src", "pos", "value"])
             pos += len(out)

@@ -52,7 +52,7 @@ def test_number_text(x, text):
     assert V.number_text("f64", x) == text and float(text) == x
 
 
-def test_columns():
+def test_columns(spark):
     kind = T.StructType.fromDDL("a int, b string, c array<float>, d map<string,long>, e binary, f double")
     v = ("m", [(("s", "b"), ("s", "x")), (("s", "a"), ("u64", 7)), (("s", "a"), ("u64", 8)), (("s", "c"), ("q", [("f32", 0.5)])), (("s", "d"), ("m", [(("s", "k"), ("i64", 1)), (("s", "k"), ("i64", 2))])), (("s", "e"), ("q", [("u64", 1), ("u64", 255)]))])
     assert V.to_column(v, kind) == (7, "x", [0.5], {"k": 1}, b"\x01\xff", None)
