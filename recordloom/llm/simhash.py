@@ -61,10 +61,10 @@ def cells(bands) -> str:
     return f"concat({', '.join(near)})"
 
 
-def links(points: DataFrame, bands, verified, confirmed=None) -> DataFrame:
+def links(points: DataFrame, bands, own: list[str], verified, confirmed=None) -> DataFrame:
     """Links (u, v), u > v, that join the ids of all points whose fingerprints are linked, directly or over others.
 
-    points: id (distinct, not null) and whatever verified(left, right) compares, among it the longs that bands read.
+    points: id (distinct, not null), the longs that bands read, and the columns own, which verified(left, right) compares.
     confirmed, if given, keeps of distinct verified pairs (u, v) those that are links.
     The Manhattan distance of two grid points never exceeds the Hamming distance of their fingerprints. Points within
     two of each other share a cell, a grid point within one step of both, so cells hold all candidates.
@@ -74,8 +74,7 @@ def links(points: DataFrame, bands, verified, confirmed=None) -> DataFrame:
     that this leaves in another component than the first's are then compared with the whole cell, so a cell in which
     all are alike costs its size and not its square, and no pair across components is left out.
     """
-    own = [c for c in points.columns if c != "id"]
-    dealt = points.withColumn("cell", F.explode(F.expr(cells(bands))))
+    dealt = points.select("id", *own, F.explode(F.expr(cells(bands))).alias("cell"))
     w = Window.partitionBy("cell").orderBy("id")
     first = F.first(F.struct("id", *own)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     member = F.struct("id", *own)
@@ -143,7 +142,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "d
     """
     fps, _ = stored(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
     nodes, _ = stored(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    near = links(nodes.select(F.col("fp").alias("id"), F.col("fp").alias("f0")), WHOLE, lambda a, b: F.expr(f"bit_count({a}f0 ^ {b}f0) <= {BITS}"))
+    near = links(nodes.select(F.col("fp").alias("id"), F.col("fp").alias("f0")), WHOLE, ["f0"], lambda a, b: F.expr(f"bit_count({a}f0 ^ {b}f0) <= {BITS}"))
     named, _ = stored(nodes.join(components(near), nodes.fp == F.col("u"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     out = fps.join(named.join(lowest, "root").select("fp", "component_id"), "fp", "left")
@@ -154,30 +153,36 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: The pipeline's stage. Candidates: 128 bits over a text's distinct words, in four bands of 32 bits with two-bit segments,
-#: of which one has at most two differing bits (so have all texts within eleven bits, and most others of that similarity);
-#: then 128 bits over its distinct five-word shingles, at most FAR differing. Links: exact Jaccard similarity of these
-#: shingles of at least SIMILAR fifths.
+#: The pipeline's stage. Candidates: six bands of 42 bits over a text's distinct words, in segments of two bits, of which one has at
+#: most two differing bits (texts of this similarity differ in 5 % of these bits); then 128 bits over its distinct
+#: five-word shingles, at most FAR differing. Links: exact Jaccard similarity of these shingles of at least SIMILAR fifths.
+#: A cell's chance to hold unrelated texts falls with the bits of a band: 42 do for some 10**8 texts.
 STAGE_SHINGLE, FAR, SIMILAR = 5, 28, 4
+BANDS, BAND_BITS = 6, 42
+SKETCH = [*(f"w{k}" for k in range(BANDS)), "s0", "s1"]
+#: Tag, point, segments and bits to a count of each band: a bit count is 0 to 2.
+BANDED = [(f"shiftleft({k}L, {BAND_BITS})", f"((w{k} & 1466015503701L) + (shiftrightunsigned(w{k}, 1) & 1466015503701L))", BAND_BITS // 2, 2) for k in range(BANDS)]
 
 
-def _halves(word: str, tag: int) -> list:
-    """Two bands of a long: its halves, one bit count (0 to 2) to two bits."""
-    out = []
-    for k in (0, 1):
-        half = f"(shiftrightunsigned({word}, {32 * k}) & 4294967295L)"
-        out.append((f"shiftleft({tag + k}L, 40)", f"(({half} & 1431655765L) + (shiftrightunsigned({half}, 1) & 1431655765L))", 16, 2))
-    return out
+def _majority(features: set[bytes], seeds: int) -> np.ndarray:
+    """A bit for each of 128 bits of XXH128 with each seed: whether more than half the features have it."""
+    from xxhash import xxh128_digest
 
+    items, out = list(features), []
+    for seed in range(seeds):
+        ones = np.zeros(128, np.int64)
+        for lo in range(0, len(items), CHUNK):
+            h = np.frombuffer(b"".join([xxh128_digest(x, seed) for x in items[lo : lo + CHUNK]]), np.uint8).reshape(-1, 16)
+            ones += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(2 * ones > len(items))
+    return np.concatenate(out)
 
-def _bits(features: set[bytes]) -> list[int]:
-    from xxhash import xxh128_digest
 
-    n, ones, items = len(features), np.zeros(128, np.int64), list(features)
-    for lo in range(0, n, CHUNK):
-        h = np.frombuffer(b"".join(map(xxh128_digest, items[lo : lo + CHUNK])), np.uint8).reshape(-1, 16)
-        ones += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n, bitorder="little").view(np.int64).tolist()
+def sketch(words: list[bytes]) -> list[int]:
+    bands = np.zeros((BANDS, 64), bool)
+    bands[:, :BAND_BITS] = _majority(set(words), 2)[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
+    bits = np.concatenate([bands.ravel(), _majority(shingles(words), 1)])
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
 
 
 def shingles(words: list[bytes]) -> set[bytes]:
@@ -191,18 +196,18 @@ def node_of(words: list[bytes]) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of the words in order), w0, w1 (over distinct words), s0, s1 (over distinct shingles)."""
+    """doc_id, node (a hash of the words in order) and the longs of SKETCH."""
 
     def run(batches):
         for batch in batches:
             out = []
             for x in batch.column(1).cast(pa.large_binary()):
                 words = (x.as_buffer().to_pybytes() if x.is_valid else b"").lower().split()
-                out.append([node_of(words), *_bits(set(words)), *_bits(shingles(words))])
-            cols = np.array(out, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in cols)], names=["doc_id", "node", "w0", "w1", "s0", "s1"])
+                out.append([node_of(words), *sketch(words)])
+            cols = np.array(out, np.int64).reshape(-1, 1 + len(SKETCH)).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in cols)], names=["doc_id", "node", *SKETCH])
 
-    return pick(docs, doc_id=("doc_id", "long"), text="text").mapInArrow(run, "doc_id long, node long, w0 long, w1 long, s0 long, s1 long")
+    return pick(docs, doc_id=("doc_id", "long"), text="text").mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def similar(docs: DataFrame, nodes: DataFrame):
@@ -246,10 +251,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of documents with an id: texts of equal words, and texts whose five-word shingles are at
     least 0.8 similar, are in one component, named by its smallest doc_id."""
     found, _ = stored(sketches(docs).where("doc_id IS NOT NULL"), "sketches")
-    nodes, _ = stored(found.groupBy("node", "w0", "w1", "s0", "s1").agg(F.min("doc_id").alias("low")).withColumnRenamed("node", "id"), "nodes")
-    bands = _halves("w0", 0) + _halves("w1", 2)
+    nodes, _ = stored(found.groupBy("node", *SKETCH).agg(F.min("doc_id").alias("low")).withColumnRenamed("node", "id"), "nodes")
     far = lambda a, b: F.expr(f"bit_count({a}s0 ^ {b}s0) + bit_count({a}s1 ^ {b}s1) <= {FAR}")
-    near = links(nodes.drop("low"), bands, far, similar(docs, nodes))
+    near = links(nodes, BANDED, ["s0", "s1"], far, similar(docs, nodes))
     named, _ = stored(nodes.join(components(near), nodes.id == F.col("u"), "left").select("id", "low", F.coalesce("root", "id").alias("root")), "named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return found.join(named.join(lowest, "root").select(F.col("id").alias("node"), "component_id"), "node").select("doc_id", "component_id")

@@ -323,7 +323,7 @@ def test_links_of_clusters(spark):
         fps |= {f ^ (1 << k) for k in range(40)} | {f ^ 0b1111 << k for k in range(0, 60, 4)}
     rows = [(k, f) for k, f in enumerate(sorted(fps))]
     nodes = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, f - 2**64 if f >= 2**63 else f) for _, f in rows], "id long, f0 long")
-    roots = {x.u: x.root for x in simhash.components(simhash.links(nodes, simhash.WHOLE, lambda a, b: F.expr(f"bit_count({a}f0 ^ {b}f0) <= 2"))).collect()}
+    roots = {x.u: x.root for x in simhash.components(simhash.links(nodes, simhash.WHOLE, ["f0"], lambda a, b: F.expr(f"bit_count({a}f0 ^ {b}f0) <= 2"))).collect()}
     want = brute_components(rows)
     signed = lambda f: f - 2**64 if f >= 2**63 else f
     groups, got = {}, {}
