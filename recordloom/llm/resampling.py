@@ -4,6 +4,7 @@ document's log weight; a Gumbel top-k draws the documents."""
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -70,34 +71,53 @@ def flags(column: pa.Array) -> np.ndarray:
     return column.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def fit(counts: DataFrame) -> np.ndarray:
-    """Raw and target counts by bucket: one row a bucket comes to the driver, whatever the corpus."""
-    got = counts.toPandas()
-    out = np.zeros((2, BUCKETS))
-    out[:, got["bucket"]] = got["raw"], got["target"]
-    return out
+class Model(NamedTuple):
+    """The target's share of all counts, and raw and target counts by bucket of those that may speak; others are zero."""
 
+    share: float
+    bucket: np.ndarray
+    raw: np.ndarray
+    target: np.ndarray
 
-def weigh(bucket: np.ndarray, row: np.ndarray, rows: int, own: np.ndarray, model: np.ndarray) -> np.ndarray:
+    def dense(self) -> np.ndarray:
+        out = np.zeros((2, BUCKETS))
+        out[0, self.bucket], out[1, self.bucket] = self.raw, self.target
+        return out
+
+
+def fit(counts: DataFrame) -> Model:
+    """A bucket whose counts can't be DEVIATIONS apart, whichever row's own counts are taken out, stays in Spark; of the
+    others, at most BUCKETS, a row each comes to the driver."""
+    counts, _ = stored(counts, "counts")
+    raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
+    share = (target or 0) / max(raw or 0, 1)
+    expected = F.col("raw") * share
+    got = counts.where(F.abs(F.col("target") - expected) + 1 >= DEVIATIONS * F.sqrt(F.greatest(expected, F.lit(1.0)))).toPandas()
+    return Model(share, got["bucket"].to_numpy(np.int64), got["raw"].to_numpy(float), got["target"].to_numpy(float))
+
+
+def weigh(bucket: np.ndarray, row: np.ndarray, rows: int, own: np.ndarray, share: float, model: np.ndarray) -> np.ndarray:
     """log p_target / p_raw of each row. A row's own counts are taken out of both models first: it does not judge itself."""
-    share = model[1].sum() / max(model[0].sum(), 1.0)
+    known = model[0][bucket] > 0
+    bucket, row = bucket[known], row[known]
     expected = (model[0][bucket] - 1) * share
     target = model[1][bucket] - own[row]
     speaks = np.abs(target - expected) >= DEVIATIONS * np.sqrt(expected + 1)
     return np.bincount(row[speaks], np.log((target[speaks] + PRIOR) / (expected[speaks] + PRIOR)), rows)
 
 
-def log_weights(docs: DataFrame, model: np.ndarray) -> DataFrame:
+def log_weights(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, is_target, weight (long): the log weight of each row of docs (doc_id, text, is_target) in steps of 1 / STEP."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two doubles a bucket
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most three numbers a bucket
 
     def run(batches):
+        share, model = shared.value.share, shared.value.dense()
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
             own, out = flags(batch.column(2)), np.zeros(batch.num_rows)
             for a, b in blocks(off, BLOCK):
                 bucket, row = features(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                out[a:b] = weigh(bucket, row, b - a, own[a:b], shared.value)
+                out[a:b] = weigh(bucket, row, b - a, own[a:b], share, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.floor(out * STEP).astype(np.int64))], names=["doc_id", "is_target", "weight"])
 
     return docs.select("doc_id", "text", "is_target").mapInArrow(run, "doc_id long, is_target boolean, weight long")
