@@ -27,6 +27,7 @@ class Schema:
         except ValueError as e:
             raise AvroError(f"the schema is not JSON: {e}") from e
         self.text, self.named = text, {}
+        self.resolved: dict = {}
         self.register(self.root, "")
 
     def register(self, s, space: str) -> None:
@@ -55,6 +56,13 @@ class Schema:
 
     def of(self, s):
         """(kind, definition) behind names and wrapped primitives; logical types are their plain ones."""
+        key = s if isinstance(s, str) else id(s)  # definitions live as long as the schema
+        found = self.resolved.get(key)
+        if found is None:
+            found = self.resolved[key] = self.resolve(s)
+        return found
+
+    def resolve(self, s):
         if isinstance(s, list):
             return "union", s
         if isinstance(s, str):
@@ -203,6 +211,8 @@ def decode(data: bytes) -> Iterator[tuple]:
 
 def _long(n: int) -> bytes:
     n = (n << 1) ^ (n >> 63)
+    if n < 128:
+        return ONE_BYTE[n]
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -211,6 +221,9 @@ def _long(n: int) -> bytes:
     return bytes(out)
 
 
+ONE_BYTE = [bytes([n]) for n in range(128)]
+
+
 def _bytes(data: bytes) -> bytes:
     return _long(len(data)) + data
 
@@ -311,6 +324,38 @@ def write_value(v, s, schema: Schema) -> bytes:
     return (_long(len(parts)) + b"".join(parts) if parts else b"") + b"\0"
 
 
+#: Kinds whose values are told by their tag alone, and how they are written.
+TAGS = {"null": ("n",), "boolean": ("b",), "int": tuple(V.INTEGERS), "long": tuple(V.INTEGERS), "double": V.FLOATS, "float": ("f32",), "string": ("s", "c"), "bytes": ("y",)}
+PLAIN = {"null": lambda x: b"", "boolean": lambda x: b"\x01" if x else b"\0", "double": struct.Struct("<d").pack, "float": struct.Struct("<f").pack, "string": lambda x: _bytes(x.encode()), "bytes": lambda x: _bytes(x)}
+
+
+def writer(s, schema: Schema, made: dict | None = None):
+    """write_value for one type as a function: what has the expected shape takes a short way, all else write_value itself."""
+    made = {} if made is None else made
+    kind, d = schema.of(s)
+    general = lambda v: write_value(v, s, schema)
+    if kind in PLAIN:
+        tags, plain = TAGS[kind], PLAIN[kind]
+        return lambda v: (plain(v[1]) if len(v) > 1 else b"") if v[0] in tags else general(v)
+    if kind in ("int", "long"):
+        lo, hi = V.INTEGERS["i32" if kind == "int" else "i64"]
+        return lambda v: _long(v[1]) if v[0] in V.INTEGERS and lo <= v[1] <= hi else general(v)
+    if kind == "union":
+        kinds = [schema.of(x)[0] for x in d]
+        if len(d) == 2 and kinds.count("null") == 1 and set(kinds) <= {"null", *TAGS}:
+            at = 1 - kinds.index("null")
+            null, some, inner, tags = _long(1 - at), _long(at), writer(d[at], schema, made), TAGS[kinds[at]]
+            return lambda v: null if v[0] == "n" else some + inner(v) if v[0] in tags else general(v)
+        return general
+    if kind == "record":
+        if id(d) not in made:
+            made[id(d)] = general  # inside itself
+            names, fields = [f["name"] for f in d["fields"]], [writer(f["type"], schema, made) for f in d["fields"]]
+            made[id(d)] = lambda v: b"".join([w(x) for w, (_, x) in zip(fields, v[1])]) if v[0] == "m" and [k[1] for k, _ in v[1]] == names else general(v)
+        return made[id(d)]
+    return general
+
+
 def encode(values: Iterable[tuple], schema: str | Schema, codec: str = "null") -> Iterator[bytes]:
     """The pieces of a container file: its header, then blocks."""
     schema = Schema(schema) if isinstance(schema, str) else schema
@@ -319,14 +364,14 @@ def encode(values: Iterable[tuple], schema: str | Schema, codec: str = "null") -
     sync = os.urandom(16)
     meta = {"avro.schema": schema.text.encode(), "avro.codec": codec.encode()}
     yield MAGIC + _long(len(meta)) + b"".join(_bytes(k.encode()) + _bytes(x) for k, x in meta.items()) + b"\0" + sync
-    held, size, n = [], 0, 0
+    held, size, n, write = [], 0, 0, writer(schema.root, schema)
 
     def block():
         data = _pack(codec, b"".join(held))
         return _long(n) + _bytes(data) + sync
 
     for v in values:
-        held.append(write_value(v, schema.root, schema))
+        held.append(write(v))
         size, n = size + len(held[-1]), n + 1
         if size >= BLOCK:
             yield block()

@@ -13,7 +13,8 @@ BLANK = " \t\n\r"
 #: ANSI styles of readable output. Attributes: 1 bold, 2 dim, 3 italic; colours: 30 black, 31 red, 32 green, 34 blue.
 STYLES = {"null": "1;2;3;30", "true": "1;3;32", "false": "1;3;31", "number": "34", "quote": "2;32", "char": "32", "escape": "2;32", "punctuation": "1", "key_quote": "2;34", "key_char": "34", "key_escape": "2;34"}
 ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"} | {chr(c): f"\\u{c:04x}" for c in range(32) if chr(c) not in "\b\f\n\r\t"}
-TABLE = str.maketrans(ESCAPES)
+#: Text in quotes with the same escapes, by the standard library.
+quoted = json.encoder.encode_basestring
 
 
 def _integer(text: str):
@@ -99,13 +100,13 @@ def _scalar(v) -> tuple[str, str]:
 def compact(v) -> str:
     tag = v[0]
     if tag in ("s", "c"):
-        return f'"{v[1].translate(TABLE)}"'
+        return quoted(v[1])
     if tag == "y":
         return f"[{','.join(map(str, v[1]))}]"
     if tag == "q":
         return f"[{','.join(map(compact, v[1]))}]"
     if tag == "m":
-        return "{" + ",".join(f'"{_key(k).translate(TABLE)}":{compact(x)}' for k, x in v[1]) + "}"
+        return "{" + ",".join([f"{quoted(_key(k))}:{compact(x)}" for k, x in v[1]]) + "}"
     return _scalar(v)[1]
 
 
