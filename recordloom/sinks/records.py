@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -21,11 +23,15 @@ class Written(WriterCommitMessage):
     aside: str | None
 
 
-def file_system(path: str):
-    """The file system and plain path of a path or URI."""
+def as_uri(path: str) -> str:
+    return re.sub("^file:/(?!/)", "file:///", path) if re.match("[a-z0-9]+:/", path) else Path(path).resolve().as_uri()
+
+
+def file_system(uri: str):
+    """The file system and plain path of a URI."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.FileSystem.from_uri(f"file://{path}")) if path.startswith("/") else fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1))
+    return fs.FileSystem.from_uri(uri)
 
 
 class RecordWriter(DataSourceWriter):
@@ -72,16 +78,16 @@ class RecordWriter(DataSourceWriter):
         for k, (_, aside) in enumerate(done):
             fs.move(aside, f"{path}/part-{k:05d}-{self.job[:8]}.{EXTENSIONS[self.fmt]}")
         fs.create_dir(path, recursive=True)
-        fs.delete_dir_contents(f"{path}/_aside-{self.job}", missing_dir_ok=True)
-        if fs.get_file_info(f"{path}/_aside-{self.job}").is_file is False:
-            try:
-                fs.delete_dir(f"{path}/_aside-{self.job}")
-            except OSError:
-                pass
+        self.clear(fs, path)
 
     def abort(self, messages) -> None:
-        fs, path = file_system(self.path)
-        fs.delete_dir_contents(f"{path}/_aside-{self.job}", missing_dir_ok=True)
+        self.clear(*file_system(self.path))
+
+    def clear(self, fs, path: str) -> None:
+        from pyarrow.fs import FileType
+
+        if fs.get_file_info(f"{path}/_aside-{self.job}").type == FileType.Directory:
+            fs.delete_dir(f"{path}/_aside-{self.job}")
 
 
 class RecordSink(DataSource):
@@ -110,5 +116,4 @@ def write_records(records: DataFrame, fmt: str, path: str, *, ordered: bool = Tr
     records.sparkSession.dataSource.register(RecordSink)
     names = {"byte_strings": "bytestrings"}
     given = {names.get(k, k): str(v) for k, v in options.items() if v not in (None, False)}
-    path = path if "://" in path or path.startswith("/") else str(__import__("pathlib").Path(path).resolve())
-    records.select("src", "pos", "value").write.format("recordloom").mode(mode).options(recordformat=fmt, path=path, **given).save()
+    records.select("src", "pos", "value").write.format("recordloom").mode(mode).options(recordformat=fmt, path=as_uri(path), **given).save()
