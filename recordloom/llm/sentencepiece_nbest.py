@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,25 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+class Numbers(dict):
+    """Numbers words in the order of their first look-up; new are those looked up since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run of count, one run after the other."""
+    end = np.cumsum(count)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - count), count)
+
+
 class Pieces:
     """The pieces of a model file with their scores. A character without a piece is its UTF-8 bytes, at a score ten below the worst."""
 
@@ -67,15 +85,19 @@ class Pieces:
             self.entry[p] = (float(s), (k,))
         self.byte_id = {b: k for k, b in bytes_of.items()}
         self.unknown = min((s for _, _, s in rows if s > -1e8), default=0.0) - 10
-        self.raw = {k: p.replace(SPACE, " ").encode() for k, p, _ in rows} | {k: bytes([b]) for k, b in bytes_of.items()}
+        raw = {k: p.replace(SPACE, " ").encode() for k, p, _ in rows} | {k: bytes([b]) for k, b in bytes_of.items()}
+        spelled = [raw.get(k, b"") for k in range(max(raw, default=-1) + 1)]
+        self.raw = np.frombuffer(b"".join(spelled), np.uint8)
+        self.raw_size = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.forget()
         self.tables()
 
     def forget(self) -> None:
-        """Of each word: ids, score, loss of the next best."""
-        self.ids: dict[str, bytes] = {}
-        self.score: dict[str, float] = {}
-        self.loss: dict[str, float] = {}
+        """Words are numbered as they come; by number: where their ids are in flat, score, loss of the next best."""
+        self.number = Numbers()
+        self.flat = np.zeros(0, np.uint32)
+        self.start, self.count, self.score, self.loss = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         self.options: dict[str, list] = {}
 
     def tables(self) -> None:
@@ -100,9 +122,11 @@ class Pieces:
                 self.node_score[k], (self.node_id[k],) = self.entry[p]
         self.longest = max(map(len, self.entry), default=1)
 
-    def many(self, words: list[str]) -> None:
-        """word() of words of at most LONG characters that all have pieces, position by position for all words at once."""
-        words = sorted(words, key=len)
+    def many(self, words: list[str]):
+        """(places in words, ids one word after the other, their numbers, scores, losses): word() of words of at most LONG
+        characters that all have pieces, position by position for many words at once."""
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        words = [words[k] for k in order]
         for lo in range(0, len(words), 4096):
             part = words[lo : lo + 4096]
             w, size = len(part), np.fromiter(map(len, part), np.int64, min(4096, len(words) - lo))
@@ -150,10 +174,7 @@ class Pieces:
             flat, end = np.zeros(int(count.sum()), np.uint32), np.cumsum(count)
             for k, (own, got) in enumerate(zip(piece_of, ids)):  # from the last piece back
                 flat[end[own] - 1 - k] = got
-            data, cuts = flat.tobytes(), [0, *(4 * end).tolist()]
-            self.ids.update(zip(part, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
-            self.score.update(zip(part, total.tolist()))
-            self.loss.update(zip(part, loss.tolist()))
+            yield order[lo : lo + 4096], flat, count, total, loss
 
     def lattice(self, s: str) -> tuple[list[float], list[list]]:
         """The forward Viterbi score of each position, and the edges (start, score, ids) that end there."""
@@ -196,7 +217,7 @@ class Pieces:
                 heapq.heappush(heap, (-(g + best[i]), i, count, g, (ids, tail)))
         return out
 
-    def word(self, s: str) -> tuple[bytes, float, float]:
+    def word(self, s: str) -> tuple[list[int], float, float]:
         """ids of the best segmentation, its score, and how much less the next best has: the best entry that A-star's
         first descent leaves in its queue."""
         best, into = self.lattice(s)
@@ -216,19 +237,32 @@ class Pieces:
             ids.append(piece)
             done += score
             at = i
-        flat = array("I", [x for piece in reversed(ids) for x in piece])
-        return flat.tobytes(), best[-1], best[-1] - second
+        return [x for piece in reversed(ids) for x in piece], best[-1], best[-1] - second
 
-    def known(self, words: list[str]) -> None:
-        if len(self.ids) > MOST_WORDS:
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of words; what is new is segmented. More than MOST_WORDS are forgotten before the next call."""
+        if len(self.number) > MOST_WORDS:
             self.forget()
-        new, plain = [], []
-        for w in set(words) - self.ids.keys():
-            (new if len(w) <= LONG and self.spelled(w) else plain).append(w)
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new, self.number.new = self.number.new, []
         if new:
-            self.many(new)
-        for w in plain:
-            self.ids[w], self.score[w], self.loss[w] = self.word(w)
+            done = len(self.number) - len(new)
+            start, count, score, loss = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), np.zeros(len(new)), np.zeros(len(new))
+            flats, size = [self.flat], len(self.flat)
+            together = [k for k, w in enumerate(new) if len(w) <= LONG and self.spelled(w)]
+            for at, flat, n, total, lost in self.many([new[k] for k in together]):
+                k = np.array(together)[at]
+                start[k], count[k], score[k], loss[k] = size + np.cumsum(n) - n, n, total, lost
+                flats.append(flat)
+                size += len(flat)
+            for k in sorted(set(range(len(new))) - set(together)):
+                ids, score[k], loss[k] = self.word(new[k])
+                start[k], count[k] = size, len(ids)
+                flats.append(np.array(ids, np.uint32))
+                size += len(ids)
+            self.flat = np.concatenate(flats)
+            self.start, self.count, self.score, self.loss = (np.concatenate([old[:done], x]) for old, x in ((self.start, start), (self.count, count), (self.score, score), (self.loss, loss)))
+        return out
 
     def choices(self, w: str, n: int) -> list:
         if len(self.options) > MOST_WORDS // 10:
@@ -237,37 +271,45 @@ class Pieces:
             self.options[w, n] = self.n_best(w, n)
         return self.options[w, n]
 
-    def segmentations(self, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[tuple[float, list]]]:
-        """ids of the best segmentation of a text, and (score, edits) of the n best. An edit (at, drop, ids) replaces drop
-        ids of the best from at on. Ties go to the change that comes earlier in the text."""
-        if not text:
-            return np.zeros(0, np.uint32), []
-        words = WORD.findall(SPACE + text.replace(" ", SPACE))
-        if not self.ids.keys() >= set(words):
-            self.known(words)
-        got = list(map(self.ids.__getitem__, words))
-        ids = np.frombuffer(b"".join(got), np.uint32)
-        score = sum(map(self.score.__getitem__, words))
-        loss = np.fromiter(map(self.loss.__getitem__, words), float, len(got))
-        finite = np.flatnonzero(np.isfinite(loss))
-        near = np.sort(finite[np.argsort(loss[finite], kind="stable")[: n - 1]])
-        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)
-        combined = [(0.0, ())]
-        for k in near.tolist():
-            options = self.choices(words[k], n)
-            combined = sorted(((lost + options[0][0] - s, edits + ((k, o),) if o else edits) for lost, edits in combined for o, (s, _) in enumerate(options)), key=lambda x: x[0])[:n]
-        out = []
-        for lost, edits in combined:
-            changes = []
-            for k, o in edits:
-                size = len(got[k]) // 4
-                changes.append((int(ends[k]) - size, size, list(self.choices(words[k], n)[o][1])))
-            out.append((score - lost, changes))
-        return ids, out
+    def segmentations(self, texts: list[str], n: int = N_BEST) -> tuple[np.ndarray, np.ndarray, list[list]]:
+        """The ids of the best segmentations of texts one after the other, how many each has, and (score, edits) of the n best
+        of each. An edit (at, drop, ids) replaces drop ids of the best from at on. Ties go to the change that comes earlier in the text."""
+        split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        number = self.numbers([w for words in split for w in words])
+        count, loss, score = self.count[number], self.loss[number], self.score[number]
+        ids = self.flat[ragged(self.start[number], count)]
+        sizes, out, at = [], [], 0
+        for words in split:
+            own = slice(at, at + len(words))
+            at += len(words)
+            end = np.cumsum(count[own])
+            sizes.append(int(end[-1]) if words else 0)
+            if not words:
+                out.append([])
+                continue
+            lost = loss[own]
+            near = np.flatnonzero(lost <= (np.partition(lost, n - 2)[n - 2] if len(lost) > n - 1 > 0 else np.inf))
+            near = near[np.isfinite(lost[near])]
+            near = np.sort(near[np.argsort(lost[near], kind="stable")[: n - 1]]).tolist()
+            best, combined = float(score[own].sum()), [(0.0, ())]
+            for k in near:
+                options = self.choices(words[k], n)
+                combined = sorted(((less + options[0][0] - s, edits + ((k, o),) if o else edits) for less, edits in combined for o, (s, _) in enumerate(options)), key=lambda x: x[0])[:n]
+            size = count[own]
+            out.append([(best - less, [(int(end[k] - size[k]), int(size[k]), list(self.choices(words[k], n)[o][1])) for k, o in edits]) for less, edits in combined])
+        return ids, np.array(sizes, np.int64), out
+
+    def bytes_of(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of runs of ids, sizes of them each, and the ends of the runs' bytes."""
+        if len(ids) and (ids.max() >= len(self.raw_size) or ids.min() < 0):
+            raise ValueError("an id that the model lacks")
+        width = self.raw_size[ids]
+        ends = np.concatenate([[0], np.cumsum(width)])[np.cumsum(sizes)]
+        return self.raw[ragged(self.raw_start[ids], width)], ends
 
     def decode(self, ids) -> str:
         """The text of ids: pieces and bytes in a row, without the space before the first word."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return self.bytes_of(np.asarray(ids, np.int64), np.array([len(ids)]))[0].tobytes().decode("utf-8", "replace")[1:]
 
 
 def edited(ids: list[int], edits: list[tuple]) -> list[int]:
@@ -309,14 +351,13 @@ def encode(docs: DataFrame, *, path: str | None = None, n: int = N_BEST, id_col:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                pieces.known([w for t in texts for w in WORD.findall(SPACE + t.replace(" ", SPACE))])
-                rows = [pieces.segmentations(t, n) for t in texts]
-                size = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in rows])]).astype(np.int32)
-                flat = np.concatenate([ids for ids, _ in rows]).view(np.int32)
-                nbest = [[{"score": s, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in e]} for s, e in best] for _, best in rows]
-                same = [(pieces.decode(ids.tolist()) if len(ids) else "") == t for (ids, _), t in zip(rows, texts)]
+                ids, sizes, best = pieces.segmentations(texts, n)
+                raw, ends = pieces.bytes_of(ids.astype(np.int64), sizes)
+                same = [raw[a:b].tobytes()[1:] == t.encode() for a, b, t in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), texts)]
+                nbest = [[{"score": s, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in e]} for s, e in rows] for rows in best]
+                cuts = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(size).astype(np.int64)), pa.array([b[0][0] if b else None for _, b in rows], pa.float64()), pa.ListArray.from_arrays(pa.array(size), pa.array(flat)), pa.array(nbest, pa.list_(SEGMENTATION)), pa.array(same, pa.bool_())], names=names
+                    [part.column(0), pa.array(sizes), pa.array([b[0][0] if b else None for b in best], pa.float64()), pa.ListArray.from_arrays(cuts, pa.array(ids.view(np.int32))), pa.array(nbest, pa.list_(SEGMENTATION)), pa.array(same, pa.bool_())], names=names
                 )
 
     schema = "doc_id long, n_pieces long, score double, ids array<int>, nbest array<struct<score: double, edits: array<struct<at: int, drop: int, ids: array<int>>>>>, round_trip boolean"

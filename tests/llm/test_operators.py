@@ -94,7 +94,7 @@ def test_n_best_is_exact():
     for _ in range(400):
         t = "".join(r.choice("abc é\n") for _ in range(r.randint(1, 9)))
         found = every("▁" + t.replace(" ", "▁"))
-        ids, best = p.segmentations(t, 4)
+        ids, _, (best,) = p.segmentations([t], 4)
         full = [tuple(sentencepiece_nbest.edited(ids.tolist(), e)) for _, e in best]
         assert [s for s, _ in best] == sorted((s for s, _ in found), reverse=True)[:4]
         assert len(set(full)) == len(full) and all(dict((y, x) for x, y in found)[f] == s for f, (s, _) in zip(full, best))
@@ -106,8 +106,10 @@ def test_words_together_are_as_alone():
     r = random.Random(1)
     some = {"▁" + words(r, 1, "etaoinshrdluéßñ.,-0129Ab") for _ in range(2000)} | {"▁", "▁▁▁", "▁" + "x" * 60, "▁漢字", "▁🙂", "\n"}
     p.forget()
-    p.known(list(some))
-    assert all((p.ids[w], p.score[w], p.loss[w]) == p.word(w) for w in some)
+    some = list(some)
+    number = p.numbers(some[:900] + some)[900:]  # in two goes
+    assert all((p.flat[p.start[k] : p.start[k] + p.count[k]].tolist(), p.score[k], p.loss[k]) == p.word(w) for k, w in zip(number, some))
+    assert p.numbers(some).tolist() == number.tolist()
 
 
 def test_encoding_and_decoding(spark, docs, none):
