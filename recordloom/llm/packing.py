@@ -57,13 +57,13 @@ class WordIds:
 
     def forget(self) -> None:
         self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
 
     def part(self, part: str) -> bytes:
-        found = self.parts.get(part)
+        """ids of what splitting leaves whole; a word of it alone has the same, so both are remembered together."""
+        found = self.words.get(part)
         if found is None:
             spelled = part if part.isascii() else "".join(map(self.letter.__getitem__, part.encode()))
-            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            found = self.words[part] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return found
 
     def word(self, word: str) -> bytes:

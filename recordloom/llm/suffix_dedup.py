@@ -29,7 +29,7 @@ SHALLOW = 24
 #: Different spans of one anchor that are sorted together; the windows of more are grouped by hashes of their bytes.
 MOST_SPANS = 20_000
 #: Bytes of text worked on, and suffixes sorted, at once.
-BLOCK, SUFFIXES = 2 << 20, 1 << 19
+BLOCK, SUFFIXES = 1 << 20, 1 << 18
 PLACE = np.uint64((1 << 23) - 1)
 
 
