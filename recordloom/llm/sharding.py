@@ -88,10 +88,12 @@ class ShardStore:
             return seen
         folder = f"merged-{version:06d}"
         folders = [r[0] for r in live.join(plan, "file", "left_semi").select(F.substring_index("file", "/", 1)).distinct().collect()]  # one for each append and compaction
-        side = plan.select(F.col("file").alias("recordloom_file"), F.col("run").alias(RUN))
+        place = plan.select("run").distinct().select("run", (F.row_number().over(Window.orderBy("run")) - 1).alias("recordloom_place"))  # one row a run
+        side = plan.join(place, "run").select(F.col("file").alias("recordloom_file"), F.col("run").alias(RUN), "recordloom_place")
         side = F.broadcast(side) if members <= BROADCAST_SHARDS else side
         rows = self._read(folders).withColumn("recordloom_file", F.regexp_extract("_metadata.file_path", RELATIVE, 1)).join(side, "recordloom_file").drop("recordloom_file")
-        rows.repartition(min(runs, 100_000), RUN).sortWithinPartitions(RUN).write.option("compression", "zstd").partitionBy(RUN).parquet(f"{self.base}/data/{folder}")
+        dealt = rows.repartitionById(runs, F.col("recordloom_place")).drop("recordloom_place")  # a run is a task: no two meet in one
+        dealt.write.option("compression", "zstd").partitionBy(RUN).parquet(f"{self.base}/data/{folder}")
         self.commit(live.join(plan.select("file"), "file", "left_anti").unionByName(self._shards(folder)), version)
         return version
 
