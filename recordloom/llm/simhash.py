@@ -64,21 +64,23 @@ def cells(bands) -> str:
 def links(points: DataFrame, bands, own: list[str], verified, confirmed=None) -> DataFrame:
     """Links (u, v), u > v, that join the ids of all points whose fingerprints are linked, directly or over others.
 
-    points: id (distinct, not null), the longs that bands read, and the columns own, which verified(left, right) compares.
+    points: id (distinct, not null), the longs that bands read, and the columns own, which verified(left, right) compares;
+    without bands a row for each cell of a point, in the column cell, and own may differ from cell to cell.
     confirmed, if given, keeps of distinct verified pairs (u, v) those that are links.
     The Manhattan distance of two grid points never exceeds the Hamming distance of their fingerprints. Points within
     two of each other share a cell, a grid point within one step of both, so cells hold all candidates.
 
     A cell may hold any number of points. It is sorted, not collected: each member is compared with the cell's first and,
-    where links have to be confirmed, with the member before it if these are in different components. Only members
-    that this leaves in another component than the first's are then compared with the whole cell, so a cell in which
+    where links have to be confirmed, with the member before it in an order of the cell's own if these are in different
+    components; so a member meets another one in each of its cells. Only members that this leaves in another component than the first's are then compared with the whole cell, so a cell in which
     all are alike costs its size and not its square, and no pair across components is left out.
     """
-    dealt = points.select("id", *own, F.explode(F.expr(cells(bands))).alias("cell"))
+    dealt = points.select("id", *own, F.explode(F.expr(cells(bands))).alias("cell") if bands else "cell")
     w = Window.partitionBy("cell").orderBy("id")
     first = F.first(F.struct("id", *own)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     member = F.struct("id", *own)
-    shared = dealt.select("cell", "id", *own, first.alias("first"), F.lag(member).over(w).alias("before"), F.lead("id").over(w).isNotNull().alias("more")).where("more OR id != first.id").drop("more")
+    mixed = Window.partitionBy("cell").orderBy(F.xxhash64("id", "cell"), "id") if confirmed else w
+    shared = dealt.select("cell", "id", *own, first.alias("first"), F.lag(member).over(mixed).alias("before"), F.lead("id").over(w).isNotNull().alias("more")).where("more OR id != first.id").drop("more")
     shared, _ = stored(shared, "cells")
 
     def pairs(other: str) -> DataFrame:
@@ -153,36 +155,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: The pipeline's stage. Candidates: six bands of 42 bits over a text's distinct words, in segments of two bits, of which one has at
-#: most two differing bits (texts of this similarity differ in 5 % of these bits); then 128 bits over its distinct
-#: five-word shingles, at most FAR differing. Links: exact Jaccard similarity of these shingles of at least SIMILAR fifths.
-#: A cell's chance to hold unrelated texts falls with the bits of a band: 42 do for some 10**8 texts.
-STAGE_SHINGLE, FAR, SIMILAR = 5, 28, 4
-BANDS, BAND_BITS = 6, 42
-SKETCH = [*(f"w{k}" for k in range(BANDS)), "s0", "s1"]
-#: Tag, point, segments and bits to a count of each band: a bit count is 0 to 2.
-BANDED = [(f"shiftleft({k}L, {BAND_BITS})", f"((w{k} & 1466015503701L) + (shiftrightunsigned(w{k}, 1) & 1466015503701L))", BAND_BITS // 2, 2) for k in range(BANDS)]
-
-
-def _majority(features: set[bytes], seeds: int) -> np.ndarray:
-    """A bit for each of 128 bits of XXH128 with each seed: whether more than half the features have it."""
-    from xxhash import xxh128_digest
-
-    items, out = list(features), []
-    for seed in range(seeds):
-        ones = np.zeros(128, np.int64)
-        for lo in range(0, len(items), CHUNK):
-            h = np.frombuffer(b"".join([xxh128_digest(x, seed) for x in items[lo : lo + CHUNK]]), np.uint8).reshape(-1, 16)
-            ones += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(2 * ones > len(items))
-    return np.concatenate(out)
-
-
-def sketch(words: list[bytes]) -> list[int]:
-    bands = np.zeros((BANDS, 64), bool)
-    bands[:, :BAND_BITS] = _majority(set(words), 2)[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
-    bits = np.concatenate([bands.ravel(), _majority(shingles(words), 1)])
-    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+#: The pipeline's stage. Links: exact Jaccard similarity of the sets of five-word shingles of at least SIMILAR fifths.
+#: Candidates are all pairs that can have it. In one order of all shingles, two such sets share one of the first n - ceil(0.8 n) + 1
+#: of each, n its size (the prefix). So these are a text's cells, and no pair is left out. At the first shingle they share,
+#: all they can still share lies behind it in both, and the parities of two sets' counts in 256 classes of shingles differ in no more
+#: classes than the sets have shingles that the other lacks. Both bounds are exact and pass over most pairs that meet by chance.
+STAGE_SHINGLE, SIMILAR = 5, 4
+PARITIES = ["p0", "p1", "p2", "p3"]
+#: The order: shingles that fewer texts have come first, so that cells are small. Counts of at least two in about so many texts, and of
+#: at most so many shingles, tell frequent ones from rare ones. Any order finds every pair; this one only saves comparisons.
+ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1 << 18
 
 
 def shingles(words: list[bytes]) -> set[bytes]:
@@ -195,34 +177,84 @@ def node_of(words: list[bytes]) -> int:
     return xxh64_intdigest(b" ".join(words), SEED) - 2**63
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of the words in order) and the longs of SKETCH."""
+def hashes(words: list[bytes]) -> np.ndarray:
+    """The distinct shingles of a text, as sorted hashes."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in shingles(words)), np.uint64)).view(np.int64)
+
+
+def words_of(x: pa.Scalar) -> list[bytes]:
+    return (x.as_buffer().to_pybytes() if x.is_valid else b"").lower().split()
+
+
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles that come first among those of about ORDER_TEXTS documents."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                sets = [hashes(words_of(x)) for x in batch.column(0).slice(lo, 256).cast(pa.large_binary())]
+                gram, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
+
+    texts = pick(docs, doc_id=("doc_id", "long"), text="text").where("doc_id IS NOT NULL")
+    n = texts.count()
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < ORDER_TEXTS).select("text")
+    counts = some.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    got = counts.orderBy(F.desc("n"), "gram").limit(ORDER_SHINGLES).toPandas().sort_values("gram")
+    return got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+
+
+def prefix(grams: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Those of a text's sorted shingles that come first, one of which it shares with every text of SIMILAR fifths or more."""
+    n = len(grams)
+    often = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        often = np.where(known[at] == grams, counts[at], 0)
+    return grams[np.argsort(often, kind="stable")[: n - -(-SIMILAR * n // 5) + 1]]
+
+
+def prefixes(docs: DataFrame) -> DataFrame:
+    """doc_id, node (a hash of the words in order), size (shingles of the text), cells (its prefix, in order) and PARITIES."""
+    order = docs.sparkSession.sparkContext.broadcast(frequent(docs))  # at most ORDER_SHINGLES pairs
 
     def run(batches):
+        known, counts = order.value
         for batch in batches:
-            out = []
-            for x in batch.column(1).cast(pa.large_binary()):
-                words = (x.as_buffer().to_pybytes() if x.is_valid else b"").lower().split()
-                out.append([node_of(words), *sketch(words)])
-            cols = np.array(out, np.int64).reshape(-1, 1 + len(SKETCH)).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in cols)], names=["doc_id", "node", *SKETCH])
+            for lo in range(0, batch.num_rows, 256):
+                part, nodes, sizes, first, odd = batch.slice(lo, 256), [], [], [], []
+                for x in part.column(1).cast(pa.large_binary()):
+                    words = words_of(x)
+                    grams = hashes(words)
+                    nodes.append(node_of(words))
+                    sizes.append(len(grams))
+                    first.append(prefix(grams, known, counts))
+                    odd.append(np.packbits(np.bincount(grams & 255, minlength=256) & 1).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), *map(pa.array, np.array(odd).T)], names=["doc_id", "node", "size", "cells", *PARITIES])
 
-    return pick(docs, doc_id=("doc_id", "long"), text="text").mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return pick(docs, doc_id=("doc_id", "long"), text="text").mapInArrow(run, "doc_id long, node long, size int, cells array<long>, " + ", ".join(f"{c} long" for c in PARITIES))
+
+
+def reachable(a: str, b: str):
+    """Whether two texts that share the shingles at these places of their orders, and none before, can be similar enough."""
+    both, apart = f"least({a}size - {a}at, {b}size - {b}at)", " + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in PARITIES)
+    return F.expr(f"{5 + SIMILAR} * {both} >= {SIMILAR} * ({a}size + {b}size) AND {5 + SIMILAR} * ({apart}) <= {5 - SIMILAR} * ({a}size + {b}size)")
 
 
 def similar(docs: DataFrame, nodes: DataFrame):
     """Keeps pairs (u, v) of nodes whose texts' shingles have a Jaccard similarity of SIMILAR fifths or more, by comparing them all."""
-    from xxhash import xxh64_intdigest
 
     def hashed(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, named, sets = batch.slice(lo, 256), [], []
-                for node, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = (x or "").encode().lower().split()
+                for node, x in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary())):
+                    words = words_of(x)
                     if node_of(words) == node:  # not another text under the same id
                         named.append(node)
-                        sets.append(np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in shingles(words)), np.uint64)).view(np.int64))
+                        sets.append(hashes(words))
                 yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
     def compared(batches):
@@ -250,10 +282,10 @@ def similar(docs: DataFrame, nodes: DataFrame):
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of documents with an id: texts of equal words, and texts whose five-word shingles are at
     least 0.8 similar, are in one component, named by its smallest doc_id."""
-    found, _ = stored(sketches(docs).where("doc_id IS NOT NULL"), "sketches")
-    nodes, _ = stored(found.groupBy("node", *SKETCH).agg(F.min("doc_id").alias("low")).withColumnRenamed("node", "id"), "nodes")
-    far = lambda a, b: F.expr(f"bit_count({a}s0 ^ {b}s0) + bit_count({a}s1 ^ {b}s1) <= {FAR}")
-    near = links(nodes, BANDED, ["s0", "s1"], far, similar(docs, nodes))
+    found, _ = stored(prefixes(docs).where("doc_id IS NOT NULL"), "prefixes")
+    nodes, _ = stored(found.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ["size", "cells", *PARITIES]]), "nodes")
+    points = nodes.select("id", "size", *PARITIES, F.posexplode("cells").alias("at", "cell"))
+    near = links(points, None, ["size", "at", *PARITIES], reachable, similar(docs, nodes.select("id", "low")))
     named, _ = stored(nodes.join(components(near), nodes.id == F.col("u"), "left").select("id", "low", F.coalesce("root", "id").alias("root")), "named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return found.join(named.join(lowest, "root").select(F.col("id").alias("node"), "component_id"), "node").select("doc_id", "component_id")
