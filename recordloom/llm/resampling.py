@@ -20,8 +20,9 @@ BUCKETS = 1 << 19
 MOST_LABELS = 50_000
 #: Weight of the raw model in the target model, in documents.
 PRIOR = 2.0
-#: A bucket speaks if its target count is this many standard deviations from what the raw model expects.
-DEVIATIONS = 4.0
+#: Odds, before counting, that a bucket's share differs in target text: one bucket of all. A bucket counts by the odds after
+#: counting, with the likelihood ratio of its target count and what the raw model expects.
+ODDS = 1 / BUCKETS
 #: A lost target row counts as so many kept others where the cut is chosen: clean documents stay.
 KEEP_WEIGHT = 4
 #: Log weights are divided by it before the Gumbel noise is added.
@@ -72,7 +73,7 @@ def flags(column: pa.Array) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """The target's share of all counts, and raw and target counts by bucket of those that may speak; others are zero."""
+    """The target's share of all counts, and raw and target counts by bucket; buckets of one row, which say nothing of another, are zero."""
 
     share: float
     bucket: np.ndarray
@@ -86,13 +87,12 @@ class Model(NamedTuple):
 
 
 def fit(counts: DataFrame) -> Model:
-    """A bucket whose counts can't be DEVIATIONS apart, whichever row's own counts are taken out, stays in Spark; of the
-    others, at most BUCKETS, a row each comes to the driver."""
+    """A bucket that one row has stays in Spark: without this row's own counts it is empty. Of the others, at most BUCKETS, a
+    row each comes to the driver."""
     counts, _ = stored(counts, "counts")
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
     share = (target or 0) / max(raw or 0, 1)
-    expected = F.col("raw") * share
-    got = counts.where(F.abs(F.col("target") - expected) + 1 >= DEVIATIONS * F.sqrt(F.greatest(expected, F.lit(1.0)))).toPandas()
+    got = counts.where("raw > 1").toPandas()
     return Model(share, got["bucket"].to_numpy(np.int64), got["raw"].to_numpy(float), got["target"].to_numpy(float))
 
 
@@ -102,8 +102,9 @@ def weigh(bucket: np.ndarray, row: np.ndarray, rows: int, own: np.ndarray, share
     bucket, row = bucket[known], row[known]
     expected = (model[0][bucket] - 1) * share
     target = model[1][bucket] - own[row]
-    speaks = np.abs(target - expected) >= DEVIATIONS * np.sqrt(expected + 1)
-    return np.bincount(row[speaks], np.log((target[speaks] + PRIOR) / (expected[speaks] + PRIOR)), rows)
+    ratio = target * np.log(np.maximum(target, 1) / np.maximum(expected, 1e-9)) - (target - expected)  # log likelihood ratio of two Poisson counts
+    sure = 1 / (1 + np.exp(-ratio) / ODDS)
+    return np.bincount(row, sure * np.log((target + PRIOR) / (expected + PRIOR)), rows)
 
 
 def log_weights(docs: DataFrame, model: Model) -> DataFrame:
