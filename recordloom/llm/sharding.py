@@ -97,9 +97,15 @@ class ShardStore:
         self.commit(live.join(plan.select("file"), "file", "left_anti").unionByName(self._shards(folder)), version)
         return version
 
+    def _folders(self) -> list[str]:
+        """The folders that hold the newest version; where it names no file, the last one written, for its schema."""
+        live = [r[0] for r in self.manifest().select(F.substring_index("file", "/", 1)).distinct().collect()]
+        fs, p = hadoop_fs(self.spark, f"{self.base}/data")
+        return live or sorted(s.getPath().getName() for s in fs.listStatus(p))[-1:]
+
     def expire(self) -> None:
-        """Deletes the folders of which the newest version names no file."""
-        live = {r[0] for r in self.manifest().select(F.substring_index("file", "/", 1)).distinct().collect()}
+        """Deletes the folders of which the newest version names no file; of a version without files one stays."""
+        live = set(self._folders())
         fs, p = hadoop_fs(self.spark, f"{self.base}/data")
         for s in fs.listStatus(p):
             if s.getPath().getName() not in live:
@@ -108,7 +114,7 @@ class ShardStore:
     def rows(self) -> DataFrame:
         """Every row of the newest version, with recordloom_run, the run of its shard."""
         live = self.manifest()
-        folders = [r[0] for r in live.select(F.substring_index("file", "/", 1)).distinct().collect()]
+        folders = self._folders()
         if not folders:
             raise FileNotFoundError(f"no shards in {self.base}")
         side = live.select(F.col("file").alias("recordloom_file"), F.col("run").alias(RUN))
@@ -120,7 +126,7 @@ def shard(docs: DataFrame, base: str) -> ShardStore:
     """A store at base whose newest version holds the rows of docs, appended and compacted, with all columns as they are.
 
     Nulls, long texts and repeated rows are kept as they come; a row that is larger than the target is a file of its own
-    run. An empty table is one shard without rows, which no manifest names. A lost task writes its files again: only
+    run. An empty table is one shard without rows, which no manifest names and which keeps the schema. A lost task writes its files again: only
     committed manifests make files live.
     """
     store = ShardStore(docs.sparkSession, base)
