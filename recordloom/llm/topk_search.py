@@ -111,16 +111,15 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = QUERY_EVERY, id_col: s
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with the other rows, ties to the
     smaller vec_id; fewer rows where there are fewer candidates.
 
-    Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Of rows that
-    share an id the smallest vector counts. Shorter vectors are as if they ended in zeros. Scores beyond a long are held
+    Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Rows that
+    share an id are each a candidate and a query, repeated rows once. Shorter vectors are as if they ended in zeros. Scores beyond a long are held
     to its range. Each block of queries is first searched in one shard, whose kth scores then bound the search of all others.
     No candidates give no rows.
     """
     spark = vectors.sparkSession
     good = F.expr("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
     rows = pick(vectors, vec_id=(id_col, "long"), v=vector_col).where("vec_id IS NOT NULL AND v IS NOT NULL").where(good)
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows, _ = stored(rows, "vectors")
+    rows, _ = stored(rows.distinct(), "vectors")
     n, asked = rows.count(), rows.where(F.col("vec_id") % every == 0).count()
     shards, parts = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
 

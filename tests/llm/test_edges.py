@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from recordloom.llm import sharding
+from recordloom.llm import sharding, topk_search
 
 
 def test_sharding_of_an_empty_table(spark, tmp_path):
@@ -18,3 +18,11 @@ def test_rows_after_an_empty_append(spark, tmp_path):
     store.append(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"))
     store.expire()
     assert sorted(x.doc_id for x in store.rows().select(F.col("doc_id")).collect()) == [1, 2]
+
+
+def test_top_k_of_vectors_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=9)
+    whole = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    pairs = sorted((-sum(a * b for a, b in zip(q, v)), i) for k, q in whole if k == 0 for i, v in whole if i)
+    assert [(x.query_id, x.vec_id, x.score) for x in got.orderBy("rank").collect()] == [(0, i, -s) for s, i in pairs]
