@@ -1,6 +1,8 @@
 """The quality classifier on wording that is rare in the table."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -30,3 +32,26 @@ def test_rare_wording_counts(spark):
     got = {x.doc_id: x.selected for x in resampling.resample(df, lab).collect() if x.doc_id not in seen}
     assert np.mean([v for k, v in got.items() if k % 12 == 0]) < 0.3
     assert np.mean([v for k, v in got.items() if k % 12]) > 0.9
+
+
+def test_weights_against_a_plain_recomputation(spark):
+    """Counts of the n-grams themselves, without hash buckets: few weights may differ, by a collision."""
+    rows, labels = rare_toxic()
+    target = {i for i, _, toxic in labels if not toxic}
+    grams = {}
+    for i, t in rows:
+        w = t.split()
+        grams[i] = set(w) | set(zip(w, w[1:]))
+    raw = Counter(g for i in grams for g in grams[i])
+    good = Counter(g for i in target for g in grams[i])
+    share = sum(good.values()) / sum(raw.values())
+    want = {}
+    for i in grams:
+        want[i] = 0.0
+        for g in grams[i]:
+            e, t = (raw[g] - 1) * share, good[g] - (i in target)
+            odds = resampling.ODDS * math.exp((t * math.log(t / e) if t else 0) - (t - e))
+            want[i] += odds / (1 + odds) * math.log((t + resampling.PRIOR) / (e + resampling.PRIOR))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.log_weight for x in resampling.resample(df, lab).collect()}
+    assert min(want.values()) < -1 and np.mean([abs(got[i] - want[i]) < 0.01 for i in want]) > 0.95
