@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 
 from . import registry
@@ -21,6 +22,7 @@ LONG = {"messagepack": "message-pack"}
 #: Of several formats the first in this order wins.
 PRECEDENCE = ("protobuf", "avro", "cbor", "messagepack", "toml", "yaml", "raw", "csv", "json")
 STYLES = ("compact", "readable", "indented")
+LOG_VARIABLE = "RECORDLOOM_LOG"
 log = logging.getLogger("recordloom")
 
 
@@ -35,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--input", help="a path that Spark reads, instead of standard input")
     p.add_argument("--output", help="a folder that Spark writes, instead of standard output")
     p.add_argument("-b", "--base", default=".", help="of protobuf add: the folder that paths are relative to")
-    p.add_argument("-l", "--log", default="info", help="log level")
+    p.add_argument("-l", "--log", help=f"log level, or levels by logger as in warn,recordloom=debug; else ${LOG_VARIABLE}, else info")
     p.add_argument("-q", "--quiet", action="store_true", help="no log")
     p.add_argument("--trace", action="store_true", help="log errors with their trace")
     p.add_argument("words", nargs="*", help="protobuf add FILE")
@@ -53,10 +55,10 @@ def style(args: argparse.Namespace, terminal: bool) -> str:
 def main(argv: list[str] | None = None, stdin=None, stdout=None) -> int:
     """0 where all records were written; errors are logged with their causes, and the exit code is 1."""
     args = parser().parse_args(argv)
-    logging.basicConfig(level=logging.CRITICAL + 1 if args.quiet else args.log.upper(), format="%(levelname)s %(message)s", stream=sys.stderr)
     try:
+        set_up_log(args, os.environ)
         return run(args, stdin or sys.stdin.buffer, stdout or sys.stdout.buffer)
-    except (EngineError, OSError) as e:
+    except (EngineError, OSError, RecursionError) as e:
         log.error("%s", e, exc_info=args.trace)
         cause = e.__cause__
         while cause:
@@ -65,6 +67,33 @@ def main(argv: list[str] | None = None, stdin=None, stdout=None) -> int:
         return 1
 
 
+#: What a name of a level may be, in order; off logs nothing.
+LEVELS = {"off": logging.CRITICAL + 1, "error": logging.ERROR, "warn": logging.WARNING, "info": logging.INFO, "debug": logging.DEBUG, "trace": logging.DEBUG}
+
+
+def levels(text: str) -> dict[str, int]:
+    """Level by logger ("" for all others) of a specification such as warn,recordloom.codecs=debug; a name alone logs all."""
+    out = {}
+    for part in filter(None, (x.strip() for x in text.split(","))):
+        name, equals, level = part.partition("=")
+        if equals and level.lower() not in LEVELS:
+            raise EngineError(f"no such log level: {level}")
+        if equals:
+            out[name] = LEVELS[level.lower()]
+        elif name.lower() in LEVELS:
+            out[""] = LEVELS[name.lower()]
+        else:
+            out[name] = logging.DEBUG
+    return out
+
+
+def set_up_log(args: argparse.Namespace, env) -> None:
+    logging.basicConfig(format="%(levelname)s %(message)s", stream=sys.stderr)
+    wanted = {"": LEVELS["off"]} if args.quiet else {"": logging.INFO} | levels(args.log or env.get(LOG_VARIABLE, ""))
+    for name, level in wanted.items():
+        logging.getLogger(name or None).setLevel(level)
+
+
 def run(args: argparse.Namespace, stdin, stdout) -> int:
     if args.words[:2] == ["protobuf", "add"] and len(args.words) == 3:
         registry.add_file(registry.Paths(), args.words[2], args.base)
@@ -89,7 +118,7 @@ def run(args: argparse.Namespace, stdin, stdout) -> int:
         transcode(SparkSession.builder.appName("recordloom").getOrCreate(), source, args.input, sink, args.output, read_options=reading, **writing)
         return 0
     encode = encoder(sink, writing)
-    for piece in encode(decoder(source, reading)(stdin.read())):
+    for piece in encode(decoder(source, reading)(stdin)):  # one record at a time: what is read is written before more is asked for
         stdout.write(piece)
-    stdout.flush()
+        stdout.flush()
     return 0

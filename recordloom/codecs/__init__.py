@@ -10,8 +10,8 @@ from ..errors import FormatError, Unimplemented
 FORMATS = ("protobuf", "avro", "cbor", "messagepack", "toml", "yaml", "raw", "csv", "json")
 
 
-def decoder(fmt: str, options: dict | None = None) -> Callable[[bytes], Iterator[tuple]]:
-    """bytes -> values. Options: truncated (cbor), descriptors and message (protobuf)."""
+def decoder(fmt: str, options: dict | None = None) -> Callable[..., Iterator[tuple]]:
+    """bytes, or a binary file that is read as it is needed -> values. Options: truncated (cbor), descriptors and message (protobuf)."""
     o = options or {}
     if fmt == "protobuf":
         from . import protobuf

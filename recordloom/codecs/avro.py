@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 from .. import value as V
 from ..errors import AvroError
+from .stream import Reader
 
 MAGIC = b"Obj\x01"
 CODECS = ("null", "deflate", "snappy")
@@ -75,15 +76,9 @@ class Schema:
         return ("record" if kind == "error" else kind), s
 
 
-class _Reader:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
-
-    def take(self, n: int) -> bytes:
-        if n < 0 or self.at + n > len(self.data):
-            raise AvroError("the file ends early")
-        self.at += n
-        return self.data[self.at - n : self.at]
+class _Reader(Reader):
+    def ended(self, n: int) -> Exception:
+        return AvroError("the file ends early")
 
     def long(self) -> int:
         n = shift = 0
@@ -124,15 +119,21 @@ class _Reader:
         if kind == "fixed":
             return ("y", self.take(s["size"]))
         if kind == "enum":
-            return ("s", s["symbols"][self.long()])
+            return ("s", self.chosen(s["symbols"], "symbol"))
         if kind == "union":
-            return self.value(s[self.long()], schema)
+            return self.value(self.chosen(s, "branch"), schema)
         if kind == "array":
             return ("q", [self.value(s["items"], schema) for _ in self.blocks()])
         if kind == "map":
             return ("m", [(("s", self.text()), self.value(s["values"], schema)) for _ in self.blocks()])
         return ("m", [(("s", f["name"]), self.value(f["type"], schema)) for f in s["fields"]])
 
+    def chosen(self, among: list, what: str):
+        k = self.long()
+        if not 0 <= k < len(among):
+            raise AvroError(f"no {what} {k} of {len(among)}")
+        return among[k]
+
     def text(self) -> str:
         try:
             return self.sized().decode("utf-8")
@@ -160,7 +161,12 @@ def _unpack(codec: str, data: bytes) -> bytes:
         shift += 7
         if b < 128:
             break
-    out = _snappy().decompress(data[:-4], decompressed_size=n, asbytes=True)
+    if len(data) < 5 or n > 1 << 31:
+        raise AvroError("a snappy block without its size or checksum")
+    try:
+        out = _snappy().decompress(data[:-4], decompressed_size=n, asbytes=True)
+    except OSError as e:
+        raise AvroError(str(e)) from e
     if zlib.crc32(out) != int.from_bytes(data[-4:], "big"):
         raise AvroError("a block's checksum is wrong")
     return out
@@ -175,9 +181,8 @@ def _pack(codec: str, data: bytes) -> bytes:
     return _snappy().compress(data, asbytes=True) + zlib.crc32(data).to_bytes(4, "big")
 
 
-def header(data: bytes) -> tuple[Schema, str, bytes, int]:
-    """Schema, codec, sync marker and where the blocks begin; a bad header raises before any value is read."""
-    r = _Reader(data)
+def header(r: _Reader) -> tuple[Schema, str, bytes]:
+    """Schema, codec and sync marker of a file; the blocks come next. A bad header raises before any value is read."""
     if r.take(4) != MAGIC:
         raise AvroError("no Avro container file")
     meta = {}
@@ -189,24 +194,66 @@ def header(data: bytes) -> tuple[Schema, str, bytes, int]:
         raise AvroError(f"unknown codec {codec}")
     if "avro.schema" not in meta:
         raise AvroError("a header without a schema")
-    return Schema(meta["avro.schema"].decode()), codec, r.take(16), r.at
+    return Schema(meta["avro.schema"].decode()), codec, r.take(16)
 
 
-def decode(data: bytes) -> Iterator[tuple]:
-    schema, codec, sync, at = header(data)
+def decode(data) -> Iterator[tuple]:
+    r = _Reader(data)
+    schema, codec, sync = header(r)
+    return (v for count, part in container_parts(r, codec, sync) for v in part_values(count, part, schema))
+
+
+def decode_split(file, lo: int, hi: int) -> Iterator[tuple[int, tuple]]:
+    """(place, value) of the blocks of a seekable file that begin in [lo, hi): a block begins behind a sync marker, and belongs to
+    the part in which its marker begins. A place is the block's, times 2**20, and the value's number in it."""
+    r = _Reader(file)
+    schema, codec, sync = header(r)
+    if (start := r.at) - 16 < lo:
+        start = next_marker(file, sync, lo)
+        if start is None:
+            return
+    file.seek(start)
+    r = _Reader(file)
+    r.at = start
+    while r.at - 16 < hi and r.more():
+        place = r.at
+        count, part = next(container_parts(r, codec, sync))
+        if count >= 1 << 20:
+            raise AvroError("a block of 2**20 values or more has no places: read the file whole")
+        for k, v in enumerate(part_values(count, part, schema)):
+            yield place << 20 | k, v
+
+
+def next_marker(file, sync: bytes, at: int) -> int | None:
+    """Where the first sync marker that begins at a place or behind it ends."""
+    file.seek(at)
+    held = b""
+    while part := file.read(1 << 20):
+        held += part
+        if (k := held.find(sync)) >= 0:
+            return at + k + 16
+        at, held = at + max(0, len(held) - 15), held[-15:]
+    return None
+
+
+def part_values(count: int, part: bytes, schema: Schema) -> Iterator[tuple]:
+    block = _Reader(part)
+    for _ in range(count):
+        try:
+            yield block.value(schema.root, schema)
+        except RecursionError as e:
+            raise AvroError("values nested too deeply") from e
 
-    def values():
-        r = _Reader(data)
-        r.at = at
-        while r.at < len(data):
-            count = r.long()
-            block = _Reader(_unpack(codec, r.sized()))
-            for _ in range(count):
-                yield block.value(schema.root, schema)
-            if r.take(16) != sync:
-                raise AvroError("a block does not end with the sync marker")
 
-    return values()
+def container_parts(r: _Reader, codec: str, sync: bytes) -> Iterator[tuple[int, bytes]]:
+    """The number of values and the bytes of each block from here on."""
+    while r.more():
+        count = r.long()
+        part = _unpack(codec, r.sized())
+        if r.take(16) != sync:
+            yield count, part  # its values come before the error
+            raise AvroError("a block does not end with the sync marker")
+        yield count, part
 
 
 def _long(n: int) -> bytes:
@@ -356,28 +403,32 @@ def writer(s, schema: Schema, made: dict | None = None):
     return general
 
 
+def container_header(schema: str, codec: str, sync: bytes) -> bytes:
+    meta = {"avro.schema": schema.encode(), "avro.codec": codec.encode()}
+    return MAGIC + _long(len(meta)) + b"".join(_bytes(k.encode()) + _bytes(x) for k, x in meta.items()) + b"\0" + sync
+
+
+def container_block(count: int, data: bytes, codec: str, sync: bytes) -> bytes:
+    return _long(count) + _bytes(_pack(codec, data)) + sync
+
+
 def encode(values: Iterable[tuple], schema: str | Schema, codec: str = "null") -> Iterator[bytes]:
     """The pieces of a container file: its header, then blocks."""
     schema = Schema(schema) if isinstance(schema, str) else schema
     if codec not in CODECS:
         raise AvroError(f"unknown codec {codec}")
     sync = os.urandom(16)
-    meta = {"avro.schema": schema.text.encode(), "avro.codec": codec.encode()}
-    yield MAGIC + _long(len(meta)) + b"".join(_bytes(k.encode()) + _bytes(x) for k, x in meta.items()) + b"\0" + sync
+    yield container_header(schema.text, codec, sync)
     held, size, n, write = [], 0, 0, writer(schema.root, schema)
 
-    def block():
-        data = _pack(codec, b"".join(held))
-        return _long(n) + _bytes(data) + sync
-
     for v in values:
         held.append(write(v))
         size, n = size + len(held[-1]), n + 1
         if size >= BLOCK:
-            yield block()
+            yield container_block(n, b"".join(held), codec, sync)
             held, size, n = [], 0, 0
     if n:
-        yield block()
+        yield container_block(n, b"".join(held), codec, sync)
 
 
 def schema_of(kind) -> str:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from .. import value as V
 from ..errors import CborError
+from .stream import Reader
 
 BREAK = object()
 
@@ -16,15 +17,9 @@ class Truncated(CborError):
     pass
 
 
-class _Reader:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
-
-    def take(self, n: int) -> bytes:
-        if self.at + n > len(self.data):
-            raise Truncated("the input ends inside an item")
-        self.at += n
-        return self.data[self.at - n : self.at]
+class _Reader(Reader):
+    def ended(self, n: int) -> Exception:
+        return Truncated("the input ends inside an item")
 
     def size(self, info: int) -> int | None:
         if info < 24:
@@ -109,17 +104,19 @@ def _signed(n: int) -> str:
     return next(t for t in ("i8", "i16", "i32", "i64") if n >= V.INTEGERS[t][0])
 
 
-def decode(data: bytes, truncated: str = "error") -> Iterator[tuple]:
+def decode(data, truncated: str = "error") -> Iterator[tuple]:
     """Items to the end of the input. A last item that is cut off raises, or is left out with truncated="ignore".
     Integers and floats take the narrowest kind that holds them."""
     r = _Reader(data)
-    while r.at < len(data):
+    while r.more():
         try:
             v = r.item()
         except Truncated:
             if truncated == "ignore":
                 return
             raise
+        except RecursionError as e:
+            raise CborError("items nested too deeply") from e
         if v is BREAK:
             raise CborError("a break where an item is due")
         yield v

@@ -8,25 +8,24 @@ from collections.abc import Iterator
 
 from .. import value as V
 from ..errors import CsvError
+from .stream import as_file
 
 csv.field_size_limit(2**31 - 1)
 
 
-def decode(data: bytes) -> Iterator[tuple]:
+def decode(data) -> Iterator[tuple]:
     """Rows of equal width; blank lines are skipped, empty cells are empty strings."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError as e:
-        raise CsvError("not UTF-8") from e
     width = None
     try:
-        for row in csv.reader(io.StringIO(text, newline="")):
+        for row in csv.reader(io.TextIOWrapper(as_file(data), "utf-8", newline="")):
             if not row:
                 continue
             width = width or len(row)
             if len(row) != width:
                 raise CsvError(f"a row of {len(row)} cells after rows of {width}")
             yield ("q", [("s", cell) for cell in row])
+    except UnicodeDecodeError as e:
+        raise CsvError("not UTF-8") from e
     except csv.Error as e:
         raise CsvError(str(e)) from e
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import math
+import re
 from collections.abc import Iterator
 
 from .. import value as V
 from ..errors import JsonError
+from .stream import CHUNK, as_file
 
 BLANK = " \t\n\r"
 #: ANSI styles of readable output. Attributes: 1 bold, 2 dim, 3 italic; colours: 30 black, 31 red, 32 green, 34 blue.
 STYLES = {"null": "1;2;3;30", "true": "1;3;32", "false": "1;3;31", "number": "34", "quote": "2;32", "char": "32", "escape": "2;32", "punctuation": "1", "key_quote": "2;34", "key_char": "34", "key_escape": "2;34"}
 ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"} | {chr(c): f"\\u{c:04x}" for c in range(32) if chr(c) not in "\b\f\n\r\t"}
+SURROGATE = re.compile("[\ud800-\udfff]").search
 #: Text in quotes with the same escapes, by the standard library.
 quoted = json.encoder.encode_basestring
 
@@ -41,7 +45,7 @@ _decoder = json.JSONDecoder(object_pairs_hook=lambda pairs: ("m", pairs), parse_
 def _value(x):
     """The decoder gives tuples for numbers and maps, and Python's own for the rest."""
     if isinstance(x, str):
-        if any("\ud800" <= c <= "\udfff" for c in x):
+        if not x.isascii() and SURROGATE(x):
             raise JsonError("a lone surrogate is no text")
         return ("s", x)
     if x is None:
@@ -55,25 +59,48 @@ def _value(x):
     return x
 
 
-def decode(data: bytes) -> Iterator[tuple]:
-    """Values one after the other, in white space or not; the first error ends the stream."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError as e:
-        raise JsonError("not UTF-8") from e
-    at, n = 0, len(text)
+def cut_off(e: ValueError, n: int) -> bool:
+    """Whether an error may come from text that goes on behind n: it stands at the end, or in a string without one."""
+    return isinstance(e, json.JSONDecodeError) and (e.pos > n - 16 or e.msg.startswith("Unterminated string"))
+
+
+def decode(data) -> Iterator[tuple]:
+    """Values one after the other, in white space or not; the first error ends the stream. Of a file, what holds the next value is read."""
+    file, utf8, text, at, ended, size = as_file(data), codecs.getincrementaldecoder("utf-8")(), "", 0, False, CHUNK
+
+    def read() -> None:
+        """More text, twice as much as the time before while one value is not whole."""
+        nonlocal text, at, ended
+        part = file.read1(size)
+        ended = not part
+        try:
+            text, at = text[at:] + utf8.decode(part, ended), 0
+        except UnicodeDecodeError as e:
+            raise JsonError("not UTF-8") from e
+
     while True:
+        n = len(text)
         while at < n and text[at] in BLANK:
             at += 1
         if at == n:
-            return
+            if ended:
+                return
+            read()
+            continue
         try:
             got, end = _decoder.raw_decode(text, at)
+            if not ended and text[at] not in '[{"' and end > n - 4 and not text[end:].strip(".eE+-"):
+                read()  # a number or name may go on
+                continue
         except (ValueError, RecursionError) as e:
+            if not ended and isinstance(e, ValueError) and cut_off(e, n):
+                size = min(2 * size, 1 << 28)
+                read()
+                continue
             raise e if isinstance(e, JsonError) else JsonError(str(e)) from e
         if text[at] not in '[{"' and end < n and text[end] not in BLANK + '[]{}",:':
             raise JsonError(f"trailing characters at {end}")
-        at = end
+        at, size = end, CHUNK
         yield _value(got)
 
 

@@ -7,20 +7,15 @@ from collections.abc import Iterator
 
 from .. import value as V
 from ..errors import MessagePackError
+from .stream import Reader
 
 #: Marker of each fixed-size number: struct format.
 NUMBERS = {0xCC: ">B", 0xCD: ">H", 0xCE: ">I", 0xCF: ">Q", 0xD0: ">b", 0xD1: ">h", 0xD2: ">i", 0xD3: ">q"}
 
 
-class _Reader:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
-
-    def take(self, n: int) -> bytes:
-        if self.at + n > len(self.data):
-            raise MessagePackError("the input ends inside a value")
-        self.at += n
-        return self.data[self.at - n : self.at]
+class _Reader(Reader):
+    def ended(self, n: int) -> Exception:
+        return MessagePackError("the input ends inside a value")
 
     def number(self, size: int) -> int:
         return int.from_bytes(self.take(size), "big")
@@ -78,11 +73,14 @@ class _Reader:
         return ("m", [(self.value(), self.value()) for _ in range(n)])
 
 
-def decode(data: bytes) -> Iterator[tuple]:
+def decode(data) -> Iterator[tuple]:
     """Values to the end of the input, which may only come before a marker. Integers from 0 on are u64, others i64."""
     r = _Reader(data)
-    while r.at < len(data):
-        yield r.value()
+    while r.more():
+        try:
+            yield r.value()
+        except RecursionError as e:
+            raise MessagePackError("values nested too deeply") from e
 
 
 def _integer(n: int) -> bytes:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 from .. import value as V
 from ..errors import TomlError
+from .stream import whole
 
 #: Fixed value: the key of the one-entry map that stands for a date or time.
 DATETIME_KEY = "$__toml_private_datetime"
@@ -37,9 +38,9 @@ def _value(x):
     return ("m", [(("s", DATETIME_KEY), ("s", x.isoformat().replace("+00:00", "Z")))])
 
 
-def decode(data: bytes) -> Iterator[tuple]:
+def decode(data) -> Iterator[tuple]:
     try:
-        yield _value(tomllib.loads(data.decode("utf-8")))
+        yield _value(tomllib.loads(whole(data).decode("utf-8")))
     except (UnicodeDecodeError, tomllib.TOMLDecodeError) as e:
         raise TomlError(str(e)) from e
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import math
 import re
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ import yaml
 
 from .. import value as V
 from ..errors import YamlError
+from .stream import as_file
 
 PREFIX = "tag:yaml.org,2002:"
 INTEGER = re.compile(r"[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+")
@@ -72,10 +74,10 @@ def _node(e, events, anchors):
     return v
 
 
-def decode(data: bytes) -> Iterator[tuple]:
-    """A record for each document; input without a document has none."""
+def decode(data) -> Iterator[tuple]:
+    """A record for each document, read as the parser asks for more; input without a document has none."""
     try:
-        events = iter(yaml.parse(data.decode("utf-8"), Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
+        events = iter(yaml.parse(io.TextIOWrapper(as_file(data), "utf-8", newline=""), Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
         anchors: dict = {}
         for e in events:
             if isinstance(e, yaml.DocumentStartEvent):

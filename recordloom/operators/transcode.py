@@ -6,12 +6,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import value as V
 from ..codecs import avro, decoder, encoder
 from ..sinks.records import write_records
 from ..sources.records import read_records
+from . import columnar
 
 #: Rows of an encoded block.
 BLOCK = 4_000
@@ -42,6 +42,11 @@ def encode_rows(df: DataFrame, fmt: str, *, rows_as: str = "map", **options) ->
     if fmt == "avro":
         options.setdefault("schema", avro.schema_of(schema))
     encoder(fmt, options)
+    columns = columnar.encoder(fmt, schema, options) if rows_as == "map" else None
+
+    def by_columns(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(columns(batch, per), pa.binary())], names=["block"])
 
     def run(batches):
         encode = encoder(fmt, options)
@@ -56,45 +61,31 @@ def encode_rows(df: DataFrame, fmt: str, *, rows_as: str = "map", **options) ->
                     values = [("m", list(zip(names, row))) for row in zip(*cells)]
                 yield pa.RecordBatch.from_arrays([pa.array([b"".join(encode(values))], pa.binary())], names=["block"])
 
-    return df.mapInArrow(run, "block binary")
+    return df.mapInArrow(by_columns if columns else run, "block binary")
 
 
 def decode_blocks(blocks: DataFrame, fmt: str, schema, **options) -> DataFrame:
     """Typed rows of the records in a binary column named block."""
     schema = _schema(schema)
     decoder(fmt, options)
+    by_columns = columnar.decodable(fmt, schema, options)
 
     def run(batches):
         decode = decoder(fmt, options)
         for batch in batches:
             for block in batch.column(0):
-                yield from _typed(decode(block.as_py()), schema)
+                yield from columnar.decode(fmt, block.as_py(), schema) if by_columns else columnar.typed(decode(block.as_py()), schema)
 
     return blocks.select("block").mapInArrow(run, schema)
 
 
-def _typed(values, schema: T.StructType):
-    arrow, held, cells = to_arrow_schema(schema), [], V.writer(schema)
-
-    def rows():
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
-
-    for v in values:
-        held.append(cells(v))
-        if len(held) == BLOCK:
-            yield rows()
-            held.clear()
-    if held:
-        yield rows()
-
-
 def decode(records: DataFrame, schema) -> DataFrame:
     """Typed columns of envelope rows: the columns are the record's keys, or its elements in order."""
     schema = _schema(schema)
 
     def run(batches):
         for batch in batches:
-            yield from _typed(map(V.from_envelope, batch.column(0).to_pylist()), schema)
+            yield from columnar.typed(map(V.from_envelope, batch.column(0).to_pylist()), schema)
 
     return records.select("value").mapInArrow(run, schema)
 

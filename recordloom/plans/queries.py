@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators.transcode import decode, decode_blocks, encode, encode_rows
+from . import formats
 
 #: Both sides of a JSON round trip: the default keeps milliseconds only.
 JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
@@ -23,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores, such as one row group, is dealt out by rows; larger ones are not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def json_roundtrip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spark's own JSON functions on both sides."""
     rows = table(spark, sf_dir, "orders")
@@ -34,7 +41,7 @@ def roundtrip(name: str, fmt: str, **options) -> Callable[[SparkSession, str], D
     """A table through a format's bytes and back."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, name)
+        rows = spread(table(spark, sf_dir, name))
         return decode_blocks(encode_rows(rows, fmt, **options), fmt, rows.schema)
 
     return query
@@ -72,7 +79,7 @@ def raw_roundtrip_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope_roundtrip_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
+    rows = spread(table(spark, sf_dir, "lineitem"))
     return decode(encode(rows), rows.schema)
 
 
@@ -137,11 +144,11 @@ ROUNDTRIPS = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [json_roundtrip_orders, json_compact_text_orders, json_props_events, json_values_events, raw_roundtrip_nation, envelope_roundtrip_lineitem, messagepack_bytes_roundtrip_documents, protobuf_decode_customer, display_region, kinds_lineitem]
-    return {f.__name__: f for f in own} | {k: roundtrip(t, fmt, **o) for k, (t, fmt, o) in ROUNDTRIPS.items()}
+    return {f.__name__: f for f in own} | {k: roundtrip(t, fmt, **o) for k, (t, fmt, o) in ROUNDTRIPS.items()} | formats.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: f"SELECT * FROM {t}" for k, (t, _, _) in ROUNDTRIPS.items()} | {
+    return formats.oracle_sql() | {k: f"SELECT * FROM {t}" for k, (t, _, _) in ROUNDTRIPS.items()} | {
         "json_roundtrip_orders": "SELECT * FROM orders",
         "json_compact_text_orders": "SELECT to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus, 'o_orderpriority': o_orderpriority})::VARCHAR AS line FROM orders",
         "json_props_events": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",

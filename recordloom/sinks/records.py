@@ -68,16 +68,17 @@ class RecordWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         fs, path = file_system(self.path)
+        old = []
         if self.overwrite:
             from pyarrow.fs import FileSelector
 
-            for info in fs.get_file_info(FileSelector(path, allow_not_found=True)):
-                if info.base_name.startswith("part-"):
-                    fs.delete_file(info.path)
+            old = [info.path for info in fs.get_file_info(FileSelector(path, allow_not_found=True)) if info.base_name.startswith("part-")]
         done = sorted((m.task, m.aside) for m in messages if m and m.aside)
         for k, (_, aside) in enumerate(done):
             fs.move(aside, f"{path}/part-{k:05d}-{self.job[:8]}.{EXTENSIONS[self.fmt]}")
         fs.create_dir(path, recursive=True)
+        for own in old:  # the new files are in place
+            fs.delete_file(own)
         self.clear(fs, path)
 
     def abort(self, messages) -> None:

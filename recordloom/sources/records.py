@@ -2,47 +2,123 @@
 
 from __future__ import annotations
 
+import io
+import os
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import value as V
-from ..codecs import decoder
+from ..codecs import avro, decoder, raw
+from ..codecs.stream import CHUNK
+from ..errors import FormatError
 
 ENVELOPE = "src string, pos long, value string"
+#: Formats whose files are dealt out in parts.
+SPLIT = {"avro": avro.decode_split, "raw": raw.decode_split}
 #: Records of an Arrow batch.
 BATCH = 2_000
 
 
-def read_records(spark: SparkSession, fmt: str, path, **options) -> DataFrame:
+def read_records(spark: SparkSession, fmt: str, path, *, split_bytes: int | None = None, **options) -> DataFrame:
     """src, pos, value: each record of the files as an envelope, with its place in its file.
 
-    Files are listed and read by Spark, so any store, folder or glob that Spark reads will do. A record stream can't be
-    entered in its middle, so a file is one task's work: many files are the parallelism. Bad input fails the job.
+    Spark lists the files. Where pyarrow's file systems reach them too they are opened in the tasks and read as records are
+    needed, so a file may be of any size; from other stores Spark hands over whole files, of up to 2 GB. Of most formats a stream can't be
+    entered in its middle: a file is one task's work. With split_bytes, Avro files are dealt out by their sync markers and plain
+    text by its line ends, in parts of about so many bytes, and pos is a place in bytes and not a number. Bad input fails the job.
     """
     decoder(fmt, options)  # bad options fail here
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    listed = spark.read.format("binaryFile").load(path)
+    if split_bytes is None:
+        return records_of(listed, fmt, options)
+    if fmt not in SPLIT:
+        raise FormatError(f"{fmt} files can't be entered in their middle")
+    if not opens(listed):
+        raise FormatError("only files that pyarrow opens are split")
+    ends = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest("length", F.lit(1)) - 1, F.lit(split_bytes).cast("long")), lambda lo: F.struct(lo.alias("lo"), (lo + split_bytes).alias("hi")))
+    parts = listed.select("path", F.explode(ends).alias("part")).select("path", "part.*")
+    n = parts.count()
+    dealt = parts.repartitionByRange(max(1, min(n, 100_000)), "path", "lo")
+
+    def run(batches):
+        for batch in batches:
+            for src, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
+                with opened(src) as file:
+                    yield from placed(src, SPLIT[fmt](file, lo, hi))
+
+    return dealt.mapInArrow(run, ENVELOPE)
+
+
+def file_system(path: str):
+    """pyarrow's file system of a path as Spark names it, and the path as it takes it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", re.sub("^s3[an]:", "s3:", quote(path, safe="/:=,+@!$&()*;~"))))
+
+
+def file_system_known(path: str) -> bool:
+    """Whether pyarrow has a file system for a folder that may hold no file yet."""
+    try:
+        fs, plain = file_system(path if ":/" in path else "file://" + os.path.abspath(path))
+        return fs.get_file_info(plain).type.name == "Directory"
+    except (OSError, ValueError, ImportError):
+        return False
+
+
+def opened(path: str):
+    fs, plain = file_system(path)
+    return io.BufferedReader(fs.open_input_file(plain), CHUNK)
+
+
+def opens(listed: DataFrame) -> bool:
+    """Whether pyarrow sees the first of the files too."""
+    first = listed.select("path").head()
+    if not first:
+        return True
+    try:
+        fs, plain = file_system(first.path)
+        return fs.get_file_info(plain).is_file
+    except (OSError, ValueError, ImportError):
+        return False
+
+
+def records_of(listed: DataFrame, fmt: str, options: dict, by_path: bool | None = None) -> DataFrame:
+    by_path = opens(listed) if by_path is None else by_path
 
     def run(batches):
         decode = decoder(fmt, options)
         for batch in batches:
-            for src, content in zip(batch.column(0), batch.column(1)):
-                held, pos = [], 0
-                for v in decode(content.as_py()):
-                    held.append(V.to_envelope(v))
-                    if len(held) == BATCH:
-                        yield _rows(src.as_py(), pos, held)
-                        pos += len(held)
-                        held = []
-                if held:
-                    yield _rows(src.as_py(), pos, held)
-
-    return files.mapInArrow(run, ENVELOPE)
-
-
-def _rows(src: str, pos: int, held: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([src] * len(held)), pa.array(range(pos, pos + len(held)), pa.int64()), pa.array(held)], names=["src", "pos", "value"])
+            for src, content in zip(batch.column(0).to_pylist(), batch.column(0) if by_path else batch.column(1)):
+                if by_path:
+                    with opened(src) as file:
+                        yield from placed(src, enumerate(decode(file)))
+                else:
+                    yield from placed(src, enumerate(decode(content.as_py())))
+
+    return listed.select("path", *([] if by_path else ["content"])).mapInArrow(run, ENVELOPE)
+
+
+def placed(src: str, values) -> Iterator[pa.RecordBatch]:
+    """Batches of envelope rows from (pos, value) pairs."""
+    held = []
+    for pos, v in values:
+        held.append((pos, V.to_envelope(v)))
+        if len(held) == BATCH:
+            yield _rows(src, held)
+            held = []
+    if held:
+        yield _rows(src, held)
+
+
+def _rows(src: str, held: list[tuple[int, str]]) -> pa.RecordBatch:
+    pos, value = zip(*held)
+    return pa.RecordBatch.from_arrays([pa.array([src] * len(held)), pa.array(pos, pa.int64()), pa.array(value, pa.string())], names=["src", "pos", "value"])
 
 
 def read_json_lines(spark: SparkSession, path, schema: T.StructType | str) -> DataFrame:

@@ -15,22 +15,8 @@ def stream_records(spark: SparkSession, fmt: str, path: str, *, files_per_trigge
     decoder(fmt, options)
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_trigger).load(path)
 
-    def run(batches):
-        read = decoder(fmt, options)
-        from .. import value as V
-
-        for batch in batches:
-            for src, content in zip(batch.column(0), batch.column(1)):
-                held, pos = [], 0
-                for v in read(content.as_py()):
-                    held.append(V.to_envelope(v))
-                    if len(held) == R.BATCH:
-                        yield R._rows(src.as_py(), pos, held)
-                        pos, held = pos + len(held), []
-                if held:
-                    yield R._rows(src.as_py(), pos, held)
-
-    return files.select("path", "content").mapInArrow(run, R.ENVELOPE)
+    by_path = R.file_system_known(path)
+    return R.records_of(files, fmt, options, by_path)
 
 
 def stream_decoded(records: DataFrame, schema) -> DataFrame:
