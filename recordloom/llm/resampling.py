@@ -18,7 +18,7 @@ from .common import blocks, keep_ids, pick, stored, table, text_bytes
 BUCKETS = 1 << 19
 #: Bound on the labelled rows that the target model and the cut are fitted on, by a hash of their ids.
 MOST_LABELS = 50_000
-#: Weight of the raw model in the target model, in documents.
+#: Occurrences that the raw model adds to a bucket's count and to what is expected of it.
 PRIOR = 2.0
 #: Odds, before counting, that a bucket's share differs in target text: one bucket of all. A bucket counts by the odds after
 #: counting, with the likelihood ratio of its target count and what the raw model expects.
@@ -26,7 +26,7 @@ ODDS = 1 / BUCKETS
 #: A lost target row counts as so many kept others where the cut is chosen: clean documents stay.
 KEEP_WEIGHT = 4
 #: Log weights are divided by it before the Gumbel noise is added.
-TEMPERATURE = 0.25
+TEMPERATURE = 1.0
 SEED = 7
 BLOCK = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -35,8 +35,8 @@ LOWER[65:91] += 32
 STEP = 1 << 20
 
 
-def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of the unigrams and bigrams of words, A-Z in lower case; a bucket counts once in a row."""
+def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, row and number of occurrences of the unigrams and bigrams of words, A-Z in lower case."""
     raw = LOWER[raw]
     start, end, row = H.words_of(raw, off)
     word = H.Spans(raw).of(start, end)
@@ -44,22 +44,30 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     same = row[1:] == row[:-1]
     half = np.uint64(BUCKETS // 2)
     bucket = np.concatenate([word % half, pair[same] % half + half]).astype(np.int64)
-    once = np.unique(np.concatenate([row, row[1:][same]]) * BUCKETS + bucket)
-    return once % BUCKETS, once // BUCKETS
+    key, times = np.unique(np.concatenate([row, row[1:][same]]) * BUCKETS + bucket, return_counts=True)
+    return key % BUCKETS, key // BUCKETS, times
+
+
+#: The bucket that counts rows.
+ROWS = -1
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """bucket, raw, target: in how many rows of docs (text, is_target), and of its target rows, each bucket occurs."""
+    """bucket, raw, target: how often each bucket occurs in the rows of docs (text, is_target), and in its target rows."""
 
     def run(batches):
-        total = np.zeros((2, BUCKETS), np.int64)
+        total, rows = np.zeros((2, BUCKETS), np.int64), 0
         for batch in batches:
             raw, off = text_bytes(batch.column(0))
             chosen = flags(batch.column(1))
+            rows += batch.num_rows
             for a, b in blocks(off, BLOCK):
-                bucket, row = features(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                total[0] += np.bincount(bucket, minlength=BUCKETS)
-                total[1] += np.bincount(bucket[chosen[a:b][row]], minlength=BUCKETS)
+                bucket, row, times = features(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+                total[0] += np.bincount(bucket, times, BUCKETS).astype(np.int64)
+                own = chosen[a:b][row]
+                total[1] += np.bincount(bucket[own], times[own], BUCKETS).astype(np.int64)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([ROWS], [rows], [0])], names=["bucket", "raw", "target"])
         at = np.flatnonzero(total[0])
         for lo in range(0, len(at), 1 << 14):
             k = at[lo : lo + (1 << 14)]
@@ -73,52 +81,47 @@ def flags(column: pa.Array) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """The target's share of all counts, and raw and target counts by bucket; buckets of one row, which say nothing of another, are zero."""
+    """The target's share of all occurrences, a row's mean number of them, and raw and target counts of all buckets."""
 
     share: float
-    bucket: np.ndarray
+    mean: float
     raw: np.ndarray
     target: np.ndarray
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros((2, BUCKETS))
-        out[0, self.bucket], out[1, self.bucket] = self.raw, self.target
-        return out
-
 
 def fit(counts: DataFrame) -> Model:
-    """A bucket that one row has stays in Spark: without this row's own counts it is empty. Of the others, at most BUCKETS, a
-    row each comes to the driver."""
-    counts, _ = stored(counts, "counts")
-    raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
-    share = (target or 0) / max(raw or 0, 1)
-    got = counts.where("raw > 1").toPandas()
-    return Model(share, got["bucket"].to_numpy(np.int64), got["raw"].to_numpy(float), got["target"].to_numpy(float))
-
-
-def weigh(bucket: np.ndarray, row: np.ndarray, rows: int, own: np.ndarray, share: float, model: np.ndarray) -> np.ndarray:
-    """log p_target / p_raw of each row. A row's own counts are taken out of both models first: it does not judge itself."""
-    known = model[0][bucket] > 0
-    bucket, row = bucket[known], row[known]
-    expected = (model[0][bucket] - 1) * share
-    target = model[1][bucket] - own[row]
+    """At most BUCKETS rows of three numbers come to the driver."""
+    got = stored(counts, "counts")[0].toArrow()
+    bucket, counted = got["bucket"].to_numpy(), np.array([got["raw"].to_numpy(), got["target"].to_numpy()], np.float64)
+    model = np.zeros((2, BUCKETS))
+    model[:, bucket[bucket != ROWS]] = counted[:, bucket != ROWS]
+    rows, all_, target = counted[0, bucket == ROWS].sum(), model[0].sum(), model[1].sum()
+    return Model(target / max(all_, 1), all_ / max(rows, 1), model[0], model[1])
+
+
+def weigh(bucket: np.ndarray, row: np.ndarray, times: np.ndarray, rows: int, own: np.ndarray, model: Model) -> np.ndarray:
+    """log p_target / p_raw of the occurrences of each row, brought to the mean length: the noise of a sum grows with the root
+    of its terms. A target row's own occurrences are taken out of the target model first: it does not judge itself."""
+    expected = model.raw[bucket] * model.share
+    target = model.target[bucket] - times * own[row]
     ratio = target * np.log(np.maximum(target, 1) / np.maximum(expected, 1e-9)) - (target - expected)  # log likelihood ratio of two Poisson counts
     sure = 1 / (1 + np.exp(-ratio) / ODDS)
-    return np.bincount(row, sure * np.log((target + PRIOR) / (expected + PRIOR)), rows)
+    total = np.bincount(row, times * sure * np.log((target + PRIOR) / (expected + PRIOR)), rows)
+    return total * np.sqrt(model.mean / np.maximum(np.bincount(row, times, rows), 1))
 
 
 def log_weights(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, is_target, weight (long): the log weight of each row of docs (doc_id, text, is_target) in steps of 1 / STEP."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most three numbers a bucket
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two numbers a bucket
 
     def run(batches):
-        share, model = shared.value.share, shared.value.dense()
+        model = shared.value
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
             own, out = flags(batch.column(2)), np.zeros(batch.num_rows)
             for a, b in blocks(off, BLOCK):
-                bucket, row = features(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                out[a:b] = weigh(bucket, row, b - a, own[a:b], share, model)
+                bucket, row, times = features(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+                out[a:b] = weigh(bucket, row, times, b - a, own[a:b], model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.floor(out * STEP).astype(np.int64))], names=["doc_id", "is_target", "weight"])
 
     return docs.select("doc_id", "text", "is_target").mapInArrow(run, "doc_id long, is_target boolean, weight long")
@@ -174,11 +177,13 @@ def labelled(labels: DataFrame) -> DataFrame:
 def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, log_weight, gumbel_key (double), selected (boolean) for each row of docs.
 
-    The raw model counts hashed unigrams and bigrams of all rows, the target model those of labelled target rows. k, the
-    number of rows drawn, is the number of rows whose weight passes the cut that separates the labelled rows best. The k
-    largest of log weight / TEMPERATURE + Gumbel noise are selected, ties to the smaller doc_id. Null and empty texts weigh 0. Without
+    The raw model counts hashed unigrams and bigrams of all rows, the target model those of labelled target rows; every
+    occurrence of every n-gram counts, by its evidence. k, the number of rows drawn, is the number of rows whose weight passes the cut
+    that separates the labelled rows best; the cut chooses nothing else. The k largest of log weight / TEMPERATURE + Gumbel noise are
+    selected, ties to the smaller doc_id. Null and empty texts weigh 0; a very long text is a block of its own, taken whole. Without
     labels of both kinds every row is selected. Repeated rows are weighed and counted each; those under one id draw the same noise.
-    A null doc_id has the noise of the hash of null. An empty table gives an empty result.
+    A null doc_id has the noise of the hash of null. Only the two named columns are read, matched exactly, so others may clash. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     known = F.broadcast(stored(labelled(labels), "labels")[0])  # at most MOST_LABELS rows

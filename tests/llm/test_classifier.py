@@ -35,23 +35,27 @@ def test_rare_wording_counts(spark):
 
 
 def test_weights_against_a_plain_recomputation(spark):
-    """Counts of the n-grams themselves, without hash buckets: few weights may differ, by a collision."""
+    """The two models of the n-grams themselves, without hash buckets: few weights may differ, by a collision."""
     rows, labels = rare_toxic()
     target = {i for i, _, toxic in labels if not toxic}
     grams = {}
     for i, t in rows:
         w = t.split()
-        grams[i] = set(w) | set(zip(w, w[1:]))
-    raw = Counter(g for i in grams for g in grams[i])
-    good = Counter(g for i in target for g in grams[i])
-    share = sum(good.values()) / sum(raw.values())
+        grams[i] = Counter(w) + Counter(zip(w, w[1:]))
+    raw, good = Counter(), Counter()
+    for i, own in grams.items():
+        raw.update(own)
+        if i in target:
+            good.update(own)
+    share, mean = sum(good.values()) / sum(raw.values()), sum(raw.values()) / len(rows)
     want = {}
-    for i in grams:
+    for i, own in grams.items():
         want[i] = 0.0
-        for g in grams[i]:
-            e, t = (raw[g] - 1) * share, good[g] - (i in target)
+        for g, n in own.items():
+            e, t = raw[g] * share, good[g] - n * (i in target)
             odds = resampling.ODDS * math.exp((t * math.log(t / e) if t else 0) - (t - e))
-            want[i] += odds / (1 + odds) * math.log((t + resampling.PRIOR) / (e + resampling.PRIOR))
+            want[i] += n * odds / (1 + odds) * math.log((t + resampling.PRIOR) / (e + resampling.PRIOR))
+        want[i] *= math.sqrt(mean / sum(own.values()))
     df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {x.doc_id: x.log_weight for x in resampling.resample(df, lab).collect()}
     assert min(want.values()) < -1 and np.mean([abs(got[i] - want[i]) < 0.01 for i in want]) > 0.95
