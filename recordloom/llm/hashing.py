@@ -9,6 +9,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
+KEPT = (1 << 20) + 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,14 +23,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse ** i, modulo 2**64, for i < n."""
-    if len(_powers.get("up", ())) < n:
-        for name, b in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            out = np.full(max(n, 1 << 16), b, np.uint64)
-            out[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[name] = np.cumprod(out, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+    """BASE ** i and its inverse ** i, modulo 2**64, for i < n; tables of up to KEPT are kept."""
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"][:n], _powers["down"][:n]
+    made = {}
+    for name, b in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
+        out = np.full(n if n > KEPT else KEPT, b, np.uint64)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            made[name] = np.cumprod(out, dtype=np.uint64)
+    if n <= KEPT:
+        _powers.update(made)
+    return made["up"][:n], made["down"][:n]
 
 
 class Spans:
@@ -67,6 +72,64 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, later
 
 
+#: Bytes of short spans that are compared at once; longer spans are compared one by one.
+COMPARED, SHORT = 1 << 20, 1 << 12
+
+
+def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of equal size at a and at b hold the same bytes."""
+    out = np.ones(len(a), bool)
+    for k in np.flatnonzero(size > SHORT).tolist():
+        out[k] = np.array_equal(raw[a[k] : a[k] + size[k]], raw[b[k] : b[k] + size[k]])
+    short = np.flatnonzero(size <= SHORT)
+    end = np.cumsum(size[short])
+    lo = 0
+    while lo < len(short):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + COMPARED, "right")))
+        own = short[lo:hi]
+        n = size[own]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differ = raw[np.repeat(a[own], n) + step] != raw[np.repeat(b[own], n) + step]
+        if differ.any():
+            out[own[np.repeat(np.arange(len(own)), n)[differ]]] = False
+        lo = hi
+    return out
+
+
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """For each key where it occurs first."""
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return first[inverse]
+
+
+def named(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each span that only spans of the same bytes share: where hashes agree, bytes are compared."""
+    size, out = end - start, firsts(Spans(raw).of(start, end))
+    other = np.flatnonzero(out != np.arange(len(out)))
+    alike = size[out[other]] == size[other]
+    alike[alike] = same_bytes(raw, start[out[other[alike]]], start[other[alike]], size[other[alike]])
+    if not alike.all():  # spans of one hash that differ: their bytes tell them apart
+        own: dict = {}
+        for k in np.flatnonzero(np.isin(out, out[other[~alike]])).tolist():
+            out[k] = own.setdefault(raw[start[k] : end[k]].tobytes(), k)
+    return out
+
+
+def named_windows(ids: np.ndarray, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A number for each window of n ids from the places at on that only equal windows of the same row share."""
+    out = firsts(ngram(mix(ids.astype(np.uint64)), n)[at] ^ mix(row[at].astype(np.uint64) + U(1)))
+    other = np.flatnonzero(out != np.arange(len(out)))
+    a, b = at[out[other]], at[other]
+    alike = row[a] == row[b]
+    for k in range(n):
+        alike &= ids[a + k] == ids[b + k]
+    if not alike.all():
+        own: dict = {}
+        for k in np.flatnonzero(np.isin(out, out[other[~alike]])).tolist():
+            out[k] = own.setdefault((row[at[k]], *ids[at[k] : at[k] + n].tolist()), k)
+    return out
+
+
 #: The six separators of words: space and \x09 to \x0D.
 IS_SEP = np.zeros(256, bool)
 IS_SEP[[0x20, *range(0x09, 0x0E)]] = True

@@ -44,8 +44,7 @@ def measure(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     chars = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(point & ~H.IS_SEP[raw], out=chars[1:])
     out = {"n_words": np.bincount(row, minlength=rows), "word_chars": chars[off[1:]] - chars[off[:-1]], "n_symbols": per_row(IS_SYMBOL[raw])}
-    spans = H.Spans(raw)
-    word, width, own = spans.of(start, end), chars[end] - chars[start], H.mix(row.astype(np.uint64) + H.U(1))
+    word, width = H.named(raw, start, end), chars[end] - chars[start]
 
     # lines end at \n and at the end of their row
     cut = np.union1d(np.flatnonzero(raw == 10) + 1, off)
@@ -55,17 +54,15 @@ def measure(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         line_row = np.searchsorted(off, lo, "right") - 1
         holds = np.searchsorted(start, hi) > np.searchsorted(start, lo)
         lo, hi, line_row = lo[holds], hi[holds], line_row[holds]
-        _, later = H.repeated(spans.of(lo, hi) ^ H.mix(line_row.astype(np.uint64) + H.U(1)))
+        _, later = H.repeated(H.named(raw, lo, hi) * rows + line_row)
         out["n_dup_lines"] = np.bincount(line_row[later], minlength=rows)
         out["dup_line_chars"] = np.bincount(line_row[later], (chars[hi] - chars[lo])[later], rows).astype(np.int64)
     else:
         out["n_dup_lines"] = out["dup_line_chars"] = np.zeros(rows, np.int64)
 
     for n in sorted({8, *COVERAGE}):
-        key = H.ngram(word, n)
-        whole = row[: len(key)] == row[n - 1 :] if len(key) else np.zeros(0, bool)
-        at = np.flatnonzero(whole)
-        twice, _ = H.repeated(key[at] ^ own[at])
+        at = np.flatnonzero(row[: max(0, len(row) - n + 1)] == row[n - 1 :])
+        twice, _ = H.repeated(H.named_windows(word, row, at, n))
         inside = covered(at[twice], n, len(word))
         if n == 8:
             out["n_repeat_words"] = np.bincount(row[inside], minlength=rows)
@@ -78,8 +75,8 @@ def repetition_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """One row of measures for each row of docs, in Arrow batches and numpy, without a shuffle.
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text. Null and empty texts have no words and zero everywhere; repeated rows
-    and equal ids each give their row; other columns are not read. Repeats are found by 64-bit hashes within one text.
-    Memory: blocks of 1 MB of text, or one text that is longer.
+    and equal ids each give their row; other columns are not read, whatever their names. Repeats are found by 64-bit hashes, and what
+    they call equal is compared by its bytes. An empty table gives no rows. Memory: blocks of 1 MB of text, or one text that is longer.
     """
     names = [*BASE, "dup_line_chars", *(f"dup_{n}gram_chars" for n in COVERAGE)]
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names)])
