@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.ORACLE, "op5_chat_format": chat_format.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_topk_search": topk_search.ORACLE}
+    return {"op4_quality_rules": quality_rules.ORACLE, "op5_chat_format": chat_format.ORACLE, "op8_sharding": sharding.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_topk_search": topk_search.ORACLE}

@@ -8,7 +8,7 @@ from recordloom.llm import sharding, topk_search
 def test_sharding_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sharding.op8_sharding(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "run", "n_bytes", "text_md5"] and got.count() == 0
+    assert got.columns == ["doc_id", "n_bytes", "text_md5"] and got.count() == 0
 
 
 def test_rows_after_an_empty_append(spark, tmp_path):

@@ -1,8 +1,10 @@
 """Each operator against brute force or its SQL, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.llm import chat_format, packing, quality_rules, registry, resampling, sentencepiece_nbest, sharding, simhash, suffix_dedup, topk_search, url_filter
-from recordloom.llm.common import pick, scratch
+from recordloom.llm.common import numbered, pick, scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -413,29 +415,94 @@ def test_packer_leaves_little_cut():
 
 
 def test_sharding(spark, docs, none):
-    docs = docs.drop("Text").select("doc_id", "fp", "key", "`n.chars`", F.lit("t").alias("run"), F.lit("f").alias("file"))
+    docs = docs.select("*", F.lit("t").alias("run"), F.lit("f").alias("file"), F.lit("r").alias(sharding.RUN), F.lit(None).cast("string").alias("schema"))
     store = sharding.ShardStore(spark, scratch(spark, "test-shards"))
-    parts = [docs.where(F.col("doc_id") % 3 == k) for k in range(3)]
+    parts = [numbered(docs).where(F.coalesce(F.pmod(F.hash("c0"), F.lit(3)), F.lit(0)) == k).toDF(*docs.columns) for k in range(3)]
     for part in parts:
         store.append(part)
     before = store.manifest()
-    assert store.versions() == [1, 2, 3] and before.agg(F.sum("rows")).first()[0] == docs.where("doc_id IS NOT NULL").count()
+    assert store.versions() == [1, 2, 3] and before.agg(F.sum("rows")).first()[0] == docs.count()
     old = store.manifest(1).count()
     assert store.compact() == 4 and store.manifest(1).count() == old
     assert store.manifest().count() < before.count() and store.compact() == 4
-    store.expire()
+    store.expire(0)
     got = store.rows()
-    assert set(docs.columns) < set(got.columns)
-    assert got.drop(sharding.RUN).exceptAll(docs).count() == 0 and got.count() == docs.where("doc_id IS NOT NULL").count()
-    with pytest.raises(Exception, match="FileAlreadyExists"):
-        store.commit(store.manifest(), 4)
+    assert got.columns == docs.columns and "Text" in docs.columns and "text" in docs.columns
+    assert numbered(got).exceptAll(numbered(docs)).count() == 0 and got.count() == docs.count()
+    with pytest.raises(sharding.Conflict):
+        store.commit(store.manifest(), docs.schema, 4)
     assert store.versions() == [1, 2, 3, 4]
+    empty = sharding.shard(none, scratch(spark, "test-shards"))
+    assert empty.rows().columns == none.columns and empty.rows().count() == 0 and empty.manifest().count() == 0
 
 
 def test_sharding_query(spark):
     got = sharding.op8_sharding(spark, SF)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("text_md5"))
-    assert got.drop("run").exceptAll(docs).count() == 0 and got.count() == docs.count()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+    assert got.exceptAll(docs).count() == 0 and got.count() == docs.count()
+
+
+def test_which_shards_merge(spark, monkeypatch):
+    """Against a plain model: shards of a tier in the order of their names, cut where their sizes reach the target."""
+    monkeypatch.setattr(sharding, "TARGET", 5000)
+    r = random.Random(8)
+    live = [(f"arrivals-{r.randrange(10**9):x}/p{k}", "r", 1, r.choice([0, 1, 3, 5, 70, 300, 900, 1023, 1024, 1500, 4999, 5000, 9000])) for k in range(300)]
+    store = sharding.ShardStore(spark, scratch(spark, "test-shards"))
+    got = store.plan(spark.createDataFrame(live, "file string, run string, rows long, bytes long")).collect()
+    runs, sums = {}, Counter()
+    for file, _, _, size in sorted(live):
+        if size < 5000:
+            tier = math.floor(math.log(max(size, 1)) / math.log(4))
+            runs.setdefault((tier, sums[tier] // 5000), []).append(file)
+            sums[tier] += size
+    want = sorted(sorted(v) for v in runs.values() if len(v) > 1)
+    found = {}
+    for x in got:
+        found.setdefault(x.run, []).append(x.file)
+    assert sorted(sorted(v) for v in found.values()) == want and len(want) > 5
+    assert sorted({x.place for x in got}) == list(range(len(want)))
+    monkeypatch.setattr(sharding, "PLANNED", 20)
+    parted = store.plan(spark.createDataFrame(live, "file string, run string, rows long, bytes long")).collect()
+    assert sorted({x.place for x in parted}) == list(range(len({x.run for x in parted}))) and len({x.run.split("-")[1] for x in parted}) > 5
+
+
+def test_tiers_are_merged_step_by_step(spark):
+    """Three small shards make one of the next tier, which meets others of its size; sizes grow to the target and stay there."""
+    store = sharding.ShardStore(spark, scratch(spark, "test-shards"))
+    rows = lambda k, n: spark.range(n).select((F.col("id") + k * 10**6).alias("doc_id"), F.sha2(F.concat(F.col("id"), F.lit(f"-{k}")), 512).alias("text")).coalesce(1)
+    for k in range(6):
+        store.append(rows(k, 1500))
+        store.settle(0)
+    sizes = sorted(x.bytes for x in store.manifest().collect())
+    tiers = [math.floor(math.log(x, 4)) for x in sizes]
+    assert len(set(tiers)) == len(tiers) and store.rows().select("doc_id").distinct().count() == 9000 == store.rows().count()
+
+
+def test_a_store_after_a_lost_writer(spark):
+    base = scratch(spark, "test-shards")
+    store, rows = sharding.ShardStore(spark, base), spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    store.append(rows)
+    rows.toDF("c0", "c1").write.parquet(f"{base}/data/arrivals-{'0' * 32}")  # written, never committed
+    rows.write.parquet(f"{base}/manifest/_aside-x")
+    store.append(rows)
+    assert store.rows().count() == 2
+    store.expire()  # what is young may still be committed
+    assert spark.read.parquet(f"{base}/data/arrivals-{'0' * 32}").count() == 1
+    store.expire(0)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{base}/data/arrivals-{'0' * 32}")
+    assert store.rows().count() == 2 and store.versions() == [1, 2]
+    # another writer takes the version that an append was about to commit
+    commit, raced = store.commit, []
+
+    def slow(live, schema, version):
+        if not raced:
+            raced.append(version)
+            sharding.ShardStore(spark, base).append(rows)
+        commit(live, schema, version)
+
+    store.commit = slow
+    assert store.append(rows) == 4 and store.rows().count() == 4
 
 
 # 9
