@@ -3,6 +3,7 @@ the rules' precedence decide."""
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,10 @@ class Rule(NamedTuple):
 RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
 #: Bytes of the digest that the join compares.
 PREFIX_BYTES = 4
-#: Rules up to this number are broadcast (under 100 bytes each); more are joined by a shuffle.
-BROADCAST_RULES = 50_000
+#: Rules up to this number are a constant of the plan, probed within each row; more are joined by a shuffle.
+MOST_IN_ROW = 2_000
+#: Copies of a verdict, and of a rule that fits, that rows of a hot URL or a common expression are dealt to.
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,41 +37,63 @@ def url_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("host", F.translate(host, UPPER, LOWER)).withColumn("path", F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1))
 
 
-def expressions(urls: DataFrame, hosts: list[int], paths: list[int]) -> DataFrame:
-    """A row for each host suffix of one of the given numbers of labels with each path prefix of one of the given lengths:
-    the shapes that rules have, so that their number follows the rules and not the URL."""
+def expressions(hosts: list[int], paths: list[int]) -> str:
+    """SQL: a struct (h, p) for each host suffix of one of the given numbers of labels with each path prefix of one of the
+    given lengths: the shapes that rules have, so that their number follows the rules and not the URL."""
     labels = f"array({', '.join(map(str, hosts))})"
     lengths = f"array({', '.join(map(str, paths))})"
-    own = "size(split(host, '[.]'))"
-    suffixes = f"transform(filter({labels}, k -> k <= {own}), k -> substring_index(host, '.', -k))"
-    prefixes = f"transform(filter({lengths}, k -> k <= char_length(path)), k -> substring(path, 1, k))"
-    return urls.withColumn("h", F.explode(F.expr(suffixes))).withColumn("p", F.explode(F.expr(prefixes)))
+    suffixes = f"filter({labels}, k -> k <= size(split(host, '[.]')))"
+    prefixes = f"filter({lengths}, l -> l <= char_length(path))"
+    return f"flatten(transform({suffixes}, k -> transform({prefixes}, l -> struct(substring_index(host, '.', -k) AS h, substring(path, 1, l) AS p))))"
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule] = RULES, *, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def digest(h: str, p: str) -> str:
+    return f"sha2(concat_ws('\n', {h}, {p}), 256)"
+
+
+def ranked(rules: list[Rule]) -> list[tuple[int, Rule]]:
+    """Rules by precedence, the winner of any two has the larger number: the longer, then a block, then the smaller text."""
+    own = dict.fromkeys(Rule(r.verdict, r.host.translate(str.maketrans(UPPER, LOWER)), r.path) for r in rules)
+    by_text = sorted(own, key=lambda r: r.host + r.path, reverse=True)
+    return list(enumerate(sorted(by_text, key=lambda r: (len(r.host + r.path), r.verdict == "block"))))
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule] = RULES, *, default: str = "allow", id_col: str = "page_id", url_col: str = "url", most_in_row: int = MOST_IN_ROW) -> DataFrame:
     """page_id, host, path, rule (as host/path text, else null), verdict for each row of pages.
 
     A rule fits its host and all its subdomains where the path starts with the rule's. The longest rule text wins; of
     equally long ones a block, then the smaller text. Where none fits, the verdict is default. A null URL or one without
-    :// has an empty host and path. Repeated rows and ids each give their row, other columns are not read, and no
-    pages give no rows. Rules are matched once for each distinct host and path, so hot pages cost one match.
+    :// has an empty host and path; a very long one has no more expressions than a short one. Repeated rows and ids each give their
+    row, other columns are not read, whatever their names, and no pages give no rows. Up to most_in_row rules are probed within
+    each row, without a shuffle. More are joined with the distinct expressions of all URLs, so a common one such as com/ is one row there,
+    and what fits comes back to the rows over salted keys.
     """
-    spark = pages.sparkSession
     urls = url_parts(pick(pages, page_id=id_col, url=url_col)).select("page_id", "host", "path")
-    named = spark.createDataFrame([(r.verdict, r.host.translate(str.maketrans(UPPER, LOWER)), r.path) for r in dict.fromkeys(rules)], "r_verdict string, r_host string, r_path string")
-    named = named.withColumn("rule", F.concat("r_host", "r_path")).withColumn("digest", F.sha2(F.concat_ws("\n", "r_host", "r_path"), 256))
-    named = named.withColumn("prefix", F.substring("digest", 1, 2 * PREFIX_BYTES)).withColumnRenamed("digest", "r_digest")
     if not rules:
         return urls.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+    named, n = ranked(rules), 2 * PREFIX_BYTES
+    asked = expressions(sorted({r.host.count(".") + 1 for _, r in named}), sorted({len(r.path) for _, r in named}))
+    if len(named) <= most_in_row:
+        by_prefix: dict[str, list] = {}
+        for k, r in named:
+            full = hashlib.sha256(f"{r.host}\n{r.path}".encode()).hexdigest()
+            by_prefix.setdefault(full[:n], []).append(F.struct(F.lit(k).alias("rank"), F.lit(full).alias("digest"), F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict")))
+        table_ = F.map_from_arrays(F.array(*map(F.lit, by_prefix)), F.array(*(F.array(*v) for v in by_prefix.values())))
+        digests = F.transform(F.expr(asked), lambda x: F.sha2(F.concat_ws("\n", x["h"], x["p"]), 256))
+        hits = F.flatten(F.transform(digests, lambda d: F.filter(F.coalesce(F.try_element_at(table_, F.substring(d, 1, n)), F.array().cast("array<struct<rank: int, digest: string, rule: string, verdict: string>>")), lambda r: r["digest"] == d)))
+        best = urls.withColumn("best", F.array_max(hits))
+        return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    side = pages.sparkSession.createDataFrame([(k, r.host, r.path, r.verdict) for k, r in named], "rank int, r_host string, r_path string, r_verdict string")
+    side = side.withColumn("r_digest", F.expr(digest("r_host", "r_path"))).withColumn("prefix", F.substring("r_digest", 1, n))
     once = urls.select("host", "path").distinct()
-    asked = expressions(once, sorted({r.host.count(".") + 1 for r in rules}), sorted({len(r.path) for r in rules}))
-    asked = asked.withColumn("digest", F.sha2(F.concat_ws("\n", "h", "p"), 256)).withColumn("prefix", F.substring("digest", 1, 2 * PREFIX_BYTES))
-    side = F.broadcast(named) if len(rules) <= BROADCAST_RULES else named
-    hits = asked.join(side, "prefix").where(F.col("digest") == F.col("r_digest"))
-    rank = F.struct(F.length("rule").alias("n"), (F.col("r_verdict") == "block").alias("b"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "r_verdict"), rank).alias("best"))
-    out = urls.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    expanded = once.select("host", "path", F.explode(F.expr(asked)).alias("x")).select("host", "path", "x.h", "x.p")
+    whole = expanded.select("h", "p").distinct().withColumn("digest", F.expr(digest("h", "p"))).withColumn("prefix", F.substring("digest", 1, n))
+    fits = whole.join(side, "prefix").where("digest = r_digest").select("h", "p", "rank", F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    hits = expanded.withColumn("salt", F.pmod(F.hash("host", "path"), F.lit(SALTS))).join(fits.select("*", salts), ["h", "p", "salt"])
+    best = hits.groupBy("host", "path").agg(F.max(F.struct("rank", "rule", "verdict")).alias("best"))
+    out = urls.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS))).join(best.select("*", salts), ["host", "path", "salt"], "left")
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
