@@ -21,8 +21,11 @@ def test_rows_after_an_empty_append(spark, tmp_path):
 
 
 def test_top_k_of_vectors_that_share_an_id(spark):
-    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0])]
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (1, [0.0, 2.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0])]
     got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=9)
-    whole = [(i, [int(256 * x) for x in v]) for i, v in rows]
-    pairs = sorted((-sum(a * b for a, b in zip(q, v)), i) for k, q in whole if k == 0 for i, v in whole if i)
-    assert [(x.query_id, x.vec_id, x.score) for x in got.orderBy("rank").collect()] == [(0, i, -s) for s, i in pairs]
+    whole = [[int(256 * x) for x in v] for _, v in rows]
+    want = []
+    for at in (0, 1):
+        pairs = sorted((-sum(a * b for a, b in zip(whole[at], v)), rows[k][0]) for k, v in enumerate(whole) if k != at)
+        want += [(0, n + 1, i, -s) for n, (s, i) in enumerate(pairs)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -525,13 +525,17 @@ def test_rule_precedence(spark):
     R = url_filter.Rule
     rules = [R("block", "a.com", "/x"), R("allow", "a.com", "/x"), R("allow", "b.a.com", "/"), R("block", "COM", "/long/path/here")]
     df = spark.createDataFrame([(0, "http://a.com/xyz"), (1, "http://b.a.com/xyz"), (2, "http://b.a.com/long/path/here/"), (3, "http://c.org/")], "page_id long, url string")
-    for limit in (url_filter.BROADCAST_RULES, 0):  # broadcast, and by a shuffle
-        url_filter.BROADCAST_RULES, before = limit, url_filter.BROADCAST_RULES
-        try:
-            got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules, default="block").collect()}
-        finally:
-            url_filter.BROADCAST_RULES = before
-        assert got == {0: ("a.com/x", "block"), 1: ("b.a.com/", "allow"), 2: ("com/long/path/here", "block"), 3: (None, "block")}
+    want = {0: ("a.com/x", "block"), 1: ("b.a.com/", "allow"), 2: ("com/long/path/here", "block"), 3: (None, "block")}
+    for limit in (url_filter.MOST_IN_ROW, 0):  # within the row, and by a shuffle
+        got = url_filter.filter_urls(df, rules, default="block", most_in_row=limit)
+        assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == want
+
+
+def test_rules_need_no_shuffle(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    assert "Exchange" not in url_filter.filter_urls(pages)._jdf.queryExecution().executedPlan().toString()
+    both = [sorted(map(tuple, url_filter.filter_urls(pages, most_in_row=n).collect()), key=str) for n in (5, 0)]
+    assert both[0] == both[1] and len(both[0]) == pages.count()
 
 
 # 10
@@ -543,20 +547,41 @@ def test_top_k(spark):
     rows += [(300, rows[50][1]), (301, rows[50][1]), (302, rows[50][1]), (302, rows[50][1]), (303, None), (304, [1.0, None]), (305, [float("nan")] * 6), (306, [float("inf")] * 6), (350, [1e30] * 6), (307, [-2e29, 5.0]), (308, []), (None, [1.0] * 6)]
     df = spark.createDataFrame([(*x, 0) for x in rows], "vec_id long, embedding array<float>, rank int")
     got = [tuple(x) for x in topk_search.top_k(df).orderBy("query_id", "rank").collect()]
-    vecs = {}
+    vecs = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            vecs[i] = [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]
+            vecs.append((i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]))
     want = []
-    for q in sorted(i for i in vecs if i % 50 == 0):
-        s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(vecs[q], v)))), i) for i, v in vecs.items() if i != q)
-        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s[:5])]
+    for at, (q, own) in enumerate(vecs):
+        if q % 50 == 0:
+            s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(own, v)))), i) for k, (i, v) in enumerate(vecs) if k != at)
+            want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s[:5])]
+    want.sort()
     assert got == want
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in topk_search.top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
     assert topk_search.top_k(few.limit(0)).count() == 0
 
 
+def test_top_k_of_many_shards(spark, monkeypatch):
+    """Clustered vectors in small shards, a third of them one vector: blocks go only to shards that their bounds reach."""
+    monkeypatch.setattr(topk_search, "SHARD", 64)
+    monkeypatch.setattr(topk_search, "BLOCK", 4)
+    r = np.random.default_rng(2)
+    points = np.concatenate([c + r.normal(size=(60, 5)) for c in r.normal(size=(16, 5)) * 60] + [np.tile(r.normal(size=5) * 60, (400, 1))]).astype(np.float32)
+    df = spark.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate(points)], "vec_id long, embedding array<float>").repartition(4)
+    got = topk_search.top_k(df)
+    whole = np.floor(256 * points.astype(np.float64))
+    want = []
+    for q in range(0, len(points), 50):
+        s = sorted((-int(x), i) for i, x in enumerate(whole @ whole[q]) if i != q)
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s[:5])]
+    assert sorted(map(tuple, got.collect())) == want
+    space = topk_search.Space(whole, len(points) // 64)
+    cells = space.cell(whole)
+    assert len(space.shares) > 8 and abs(sum(space.shares) - 1) < 1e-9 and (np.bincount(cells) / len(cells) == np.array(space.shares)).all()
+
+
 def test_top_k_prunes_and_shares(monkeypatch):
     """Over clustered points most leaves are passed over, and a shared kth score passes over more."""
     r = np.random.default_rng(1)
