@@ -4,7 +4,7 @@
    anchors at the same place within them. The windows that one anchor owns follow each other: a span. One row a span,
    about one for each 35 bytes, is dealt out by the anchor's hash.
 2. Spans that equal an earlier one are removed whole. Where an anchor has different spans, their bytes are fetched.
-3. Deep-shallow sorting of the suffixes that start in these spans: a multikey quicksort over eight-byte digits down to
+3. Deep-shallow sorting of the suffixes that start in these spans: a three-way multikey quicksort over eight-byte digits down to
    SHALLOW bytes, and blind tries for the groups that share a longer prefix. Equal suffixes (to LENGTH bytes) meet
    in a leaf, of which the earliest stays.
 4. Each document's removed windows are joined to its text.
@@ -242,28 +242,44 @@ class BlindTrie:
                 stack += [node[2][b] for b in sorted(node[2], reverse=True)]
 
 
-def deep_shallow(text: bytes, group: np.ndarray, start: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """start, rank of the suffixes that equal, to LENGTH bytes, one of smaller rank in their group.
+def multikey_quicksort(raw: np.ndarray, start: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, part): the suffixes that share SHALLOW bytes with another of their part, in order, and the parts that they make.
 
-    Suffixes that stand alone after a digit are in place and drop out. Groups that share SHALLOW bytes go to blind tries.
+    Three-way partitioning of all parts at once: each takes the eight-byte digit of its middle suffix as pivot; what is
+    smaller or larger stays at its depth, and what equals the pivot goes on to the next digit. A suffix that is alone is in place and drops
+    out, and parts that are equal to SHALLOW bytes are done.
     """
-    raw = np.frombuffer(text, np.uint8)
-    live, part = np.arange(len(start)), group.astype(np.int64)
-    for depth in range(0, SHALLOW, 8):
-        at = start[live] + depth
-        digit = np.zeros(len(live), np.uint64)
-        for k in range(8):
-            digit = (digit << np.uint64(8)) | raw[at + k]
-        order = np.lexsort((digit, part))
-        live, part, digit = live[order], part[order], digit[order]
-        new = np.ones(len(live), bool)
-        new[1:] = (part[1:] != part[:-1]) | (digit[1:] != digit[:-1])
-        part = np.cumsum(new)
-        size = np.bincount(part)
-        more = size[part] > 1
-        live, part = live[more], part[more]
-        if not len(live):
-            return start[:0], rank[:0]
+    digits = [np.ndarray((len(raw) - 7,), ">u8", raw.data, 0, (1,))[start + d].astype(np.uint64) for d in range(0, SHALLOW, 8)]
+    live = np.argsort(part, kind="stable")
+    part, depth = part[live], np.zeros(len(start), np.int64)
+    done: list[np.ndarray] = []
+    while len(live):
+        new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        size = np.diff(np.append(new, len(live)))
+        at = np.repeat(np.arange(len(new)), size)
+        level = depth[new]
+        digit = np.choose(np.repeat(level, size), [d[live] for d in digits])
+        pivot = digit[new + size // 2][at]
+        side = 1 + (digit > pivot).astype(np.int64) - (digit < pivot)
+        key = at * 3 + side
+        order = np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        many = np.bincount(key, minlength=3 * len(new))[key] > 1
+        live, key = live[many], key[many]
+        depth = level[key // 3] + (key % 3 == 1)
+        full = depth == len(digits)
+        done.append(np.stack([live[full], key[full] + (len(done) << 40)]))
+        live, part, depth = live[~full], key[~full], depth[~full]
+    found = np.concatenate(done, axis=1) if done else np.zeros((2, 0), np.int64)
+    return found[0], found[1]
+
+
+def deep_shallow(text: bytes, group: np.ndarray, start: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start, rank of the suffixes that equal, to LENGTH bytes, one of smaller rank in their group: a multikey quicksort to
+    SHALLOW bytes, and blind tries for the parts that share these."""
+    live, part = multikey_quicksort(np.frombuffer(text, np.uint8), start, group.astype(np.int64))
+    if not len(live):
+        return start[:0], rank[:0]
     out_start, out_rank = [], []
     edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() + [len(live)]
     starts, ranks = start[live].tolist(), rank[live].tolist()
@@ -381,7 +397,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     Texts are taken whole, as UTF-8 bytes; null is empty. A byte goes if a 100-byte string of the input covers it that also
     starts earlier: in a smaller doc_id, or before it in the same text. A null id is the smallest. Rows of the same id
     and text are one document, each with its result; of one id with several texts, the text of the smaller hash is
-    earlier. Texts of under 100 bytes stay whole. Other columns are not read; no rows give no rows. Equal spans are told by
+    earlier. Texts of under 100 bytes stay whole; very long ones are worked on in overlapping pieces. Other columns are not read; no rows give no rows. Equal spans are told by
     64-bit hashes of span and anchor together, equal windows by their bytes, or, of anchors with over most_spans
     different spans, by 64-bit hashes of their anchors and 128-bit hashes of their bytes.
     """
@@ -408,7 +424,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the text that stays, and n_chars as its code points; a character that lost a byte goes too."""
+    """Every document with the text that stays, and n_chars as its code points; a character that lost a byte goes too. A null text
+    is the empty text from here on. Repeated rows and ids as in dedup(); other columns are kept, also where names clash."""
     rows = with_runs(docs, "doc_id", "text")
     at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
     plain = numbered(docs).schema

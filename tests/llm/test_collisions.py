@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from recordloom.llm import hashing, quality_rules
+from recordloom.llm import hashing, quality_rules, suffix_dedup
 from recordloom.llm.common import text_bytes
 
 
@@ -44,3 +44,21 @@ def test_hashes_that_are_forced_to_collide(monkeypatch, kept):
     texts = ["".join(r.choice(["ab ", "c ", "d\n", "é "]) for _ in range(120)) for _ in range(8)] + ["", "a b c d e f g h a b c d e f g h"]
     got = measured(*texts)
     assert list(zip(got["n_dup_lines"], got["n_repeat_words"])) == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefgh\xff"])
+def test_multikey_quicksort(letters):
+    r = random.Random(letters)
+    text = "".join(r.choice(letters) for _ in range(900)).encode("latin-1") + b"x" * 100
+    start = np.array(r.sample(range(900), 600))
+    group = np.array([r.randrange(3) for _ in start])
+    order, part = suffix_dedup.multikey_quicksort(np.frombuffer(text, np.uint8), start, group)
+    want = {}
+    for k, (s, g) in enumerate(zip(start.tolist(), group.tolist())):
+        want.setdefault((g, text[s : s + suffix_dedup.SHALLOW]), set()).add(k)
+    found = {}
+    for k, p in zip(order.tolist(), part.tolist()):
+        found.setdefault(p, set()).add(k)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    inner = [p for p, _ in zip(part.tolist(), order)]
+    assert all(a == b or a not in inner[k + 1 :] for k, (a, b) in enumerate(zip(inner, inner[1:])))  # parts lie together
