@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import blocks, pick, table, text_bytes
 
 CONTEXT = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -23,8 +23,8 @@ WAITING = 32
 STEP_TOKENS = 16 * CONTEXT
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers at most.
-MOST_WORDS = 500_000
+#: Words whose ids a worker remembers at most, and their characters; bytes of text worked on at once.
+MOST_WORDS, MOST_CHARS, BLOCK = 500_000, 1 << 24, 1 << 19
 FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
 
@@ -57,6 +57,7 @@ class WordIds:
 
     def forget(self) -> None:
         self.words: dict[str, bytes] = {"": b""}
+        self.chars = 0
 
     def part(self, part: str) -> bytes:
         """ids of what splitting leaves whole; a word of it alone has the same, so both are remembered together."""
@@ -74,10 +75,11 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > MOST_WORDS:
+        if len(self.words) > MOST_WORDS or self.chars > MOST_CHARS:
             self.forget()
         for word in set().union(*split) - self.words.keys():
             self.words[word] = self.word(word)
+            self.chars += len(word)
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
@@ -198,7 +200,9 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, id_col: str = "d
     a sequence follow each other without a gap, and every sequence is as long as a tier or a power of two, so none is
     padded. Step groups hold sequences of one length and STEP_TOKENS tokens, but for the last ones of a task.
     Each task packs its own input rows as they stream by, so no row is shuffled and a lost task is packed again
-    alike. Null and repeated ids are documents like any other; other columns are not read; no rows give no rows.
+    alike. Null and repeated ids are documents like any other; other columns are not read, whatever their names; no rows give no rows.
+    Pieces of equal lengths are packed in the order in which they come. A very long text is cut into whole windows. Memory: BLOCK
+    bytes of text or one longer text, WAITING windows of each tier, and words remembered up to MOST_WORDS and MOST_CHARS.
     """
     path = path or vocabulary_path()
     schema = pa.schema([(f.split()[0], {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}[f.split()[1]]) for f in FIELDS.split(", ")])
@@ -212,10 +216,10 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, id_col: str = "d
 
         for batch in batches:
             docs_ = batch.column(0).to_pylist()
-            for at in range(0, len(docs_), 256):
-                part = batch.slice(at, 256)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for doc, got in zip(docs_[at : at + 256], ids.encode(texts)):
+            _, off = text_bytes(batch.column(1))
+            for at, to in blocks(off, BLOCK):
+                texts = [x or "" for x in batch.column(1).slice(at, to - at).to_pylist()]
+                for doc, got in zip(docs_[at:to], ids.encode(texts)):
                     for sequence in packer.add(doc, got + end):
                         rows += sequence
                         held += sequence[-1][6] + sequence[-1][2]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import blocks, pick, table, text_bytes
 
 MODEL = "piece_bpe_32k.model"
 #: Segmentations of each text.
@@ -24,6 +24,8 @@ N_BEST = 4
 SPACE = "▁"
 #: Words that a worker remembers at most.
 MOST_WORDS = 200_000
+#: Characters of remembered words at most; bytes of text worked on at once.
+MOST_CHARS, BLOCK = 1 << 24, 1 << 19
 #: Characters of a word that is worked on together with others.
 LONG = 32
 #: What the lattice falls apart into: words, and line ends, which have no piece.
@@ -41,10 +43,11 @@ class Numbers(dict):
 
     def __init__(self):
         super().__init__()
-        self.new: list[str] = []
+        self.chars, self.new = 0, []
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
+        self.chars += len(word)
         self.new.append(word)
         return n
 
@@ -99,6 +102,7 @@ class Pieces:
         self.flat = np.zeros(0, np.uint32)
         self.start, self.count, self.score, self.loss = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         self.options: dict[str, list] = {}
+        self.option_chars = 0
 
     def tables(self) -> None:
         """The pieces as a trie in arrays: a character's class, and for a sorted key of node and class the next node."""
@@ -240,8 +244,8 @@ class Pieces:
         return [x for piece in reversed(ids) for x in piece], best[-1], best[-1] - second
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        """The numbers of words; what is new is segmented. More than MOST_WORDS are forgotten before the next call."""
-        if len(self.number) > MOST_WORDS:
+        """The numbers of words; what is new is segmented. More than MOST_WORDS or MOST_CHARS are forgotten before the next call."""
+        if len(self.number) > MOST_WORDS or self.number.chars > MOST_CHARS:
             self.forget()
         out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         new, self.number.new = self.number.new, []
@@ -265,10 +269,11 @@ class Pieces:
         return out
 
     def choices(self, w: str, n: int) -> list:
-        if len(self.options) > MOST_WORDS // 10:
-            self.options = {}
+        if len(self.options) > MOST_WORDS // 10 or self.option_chars > MOST_CHARS:
+            self.options, self.option_chars = {}, 0
         if (w, n) not in self.options:
             self.options[w, n] = self.n_best(w, n)
+            self.option_chars += len(w)
         return self.options[w, n]
 
     def segmentations(self, texts: list[str], n: int = N_BEST) -> tuple[np.ndarray, np.ndarray, list[list]]:
@@ -339,8 +344,10 @@ def encode(docs: DataFrame, *, path: str | None = None, n: int = N_BEST, id_col:
     round_trip (whether decoding gives the text) for each row of docs.
 
     Null and empty texts have no pieces, no score and no segmentations, and decode to the empty text. A text with fewer
-    than n segmentations has them all. A literal "▁" decodes as a space, so its round trip fails. Repeated
-    rows and ids each give their row; other columns are not read. Memory: one text and a bounded number of words.
+    than n segmentations has them all. Of segmentations with equal scores that with the longer last differing piece comes first, and of changes with equal
+    losses the earlier in the text. A literal "▁" decodes as a space, so its round trip fails. Repeated rows and ids each give their row;
+    other columns are not read, whatever their names; an empty table gives no rows. Memory: BLOCK bytes of text or one longer text, and
+    words remembered up to MOST_WORDS and MOST_CHARS.
     """
     path = path or model_path()
     names = ["doc_id", "n_pieces", "score", "ids", "nbest", "round_trip"]
@@ -348,8 +355,9 @@ def encode(docs: DataFrame, *, path: str | None = None, n: int = N_BEST, id_col:
     def run(batches):
         pieces = loaded(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            _, off = text_bytes(batch.column(1))
+            for lo, hi in blocks(off, BLOCK):
+                part = batch.slice(lo, hi - lo)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 ids, sizes, best = pieces.segmentations(texts, n)
                 raw, ends = pieces.bytes_of(ids.astype(np.int64), sizes)

@@ -281,7 +281,13 @@ def similar(docs: DataFrame, nodes: DataFrame):
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of documents with an id: texts of equal words, and texts whose five-word shingles are at
-    least 0.8 similar, are in one component, named by its smallest doc_id."""
+    least 0.8 similar, are in one component, named by its smallest doc_id.
+
+    Null and empty texts, and those of separators only, have the empty sequence of words and are copies of each other. Texts of fewer
+    than five words are one shingle, all their words. Very long texts are taken whole. Repeated rows each give their row; rows that share
+    an id but not a text each belong to the component of their own text. Ties: the smallest id names a component. Other columns are not read,
+    whatever their names. An empty table gives an empty result.
+    """
     found, _ = stored(prefixes(docs).where("doc_id IS NOT NULL"), "prefixes")
     nodes, _ = stored(found.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ["size", "cells", *PARITIES]]), "nodes")
     points = nodes.select("id", "size", *PARITIES, F.posexplode("cells").alias("at", "cell"))
@@ -292,6 +298,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest doc_id, with each of its rows. Rows without an id, which no group can name, stay."""
+    """One document of each group: that of the smallest doc_id, with each of its rows and all columns, also where names clash. Rows
+    without an id, which no group can name, stay. An empty table stays empty."""
     keep = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     return keep_ids(docs, keep.unionByName(spark.createDataFrame([(None,)], "doc_id long")))
