@@ -9,7 +9,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
-KEPT = (1 << 20) + 256
+KEPT = (1 << 19) + 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,7 +73,7 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of short spans that are compared at once; longer spans are compared one by one.
-COMPARED, SHORT = 1 << 20, 1 << 12
+COMPARED, SHORT = 1 << 17, 1 << 12
 
 
 def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ SYMBOLS = 10
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[list(b"#*$%&|<>")] = True
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def covered(start: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -76,7 +76,7 @@ def repetition_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text. Null and empty texts have no words and zero everywhere; repeated rows
     and equal ids each give their row; other columns are not read, whatever their names. Repeats are found by 64-bit hashes, and what
-    they call equal is compared by its bytes. An empty table gives no rows. Memory: blocks of 1 MB of text, or one text that is longer.
+    they call equal is compared by its bytes. An empty table gives no rows. Memory: blocks of 0.5 MB of text, or one text that is longer.
     """
     names = [*BASE, "dup_line_chars", *(f"dup_{n}gram_chars" for n in COVERAGE)]
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names)])
