@@ -27,11 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores, such as one row group, is dealt out by rows; larger ones are not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def through_files(name: str, fmt: str) -> Callable[[SparkSession, str], DataFrame]:
     """A table written as files of records by the sink, and read again by the source."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, path = table(spark, sf_dir, name), scratch(spark, f"files-{fmt}")
+        rows, path = spread(table(spark, sf_dir, name)), scratch(spark, f"files-{fmt}")
         options = {"schema": avro.schema_of(encodable(rows).schema), "codec": "deflate"} if fmt == "avro" else {}
         write_records(encode(rows), fmt, path, **options)
         return decode(read_records(spark, fmt, path), rows.schema)

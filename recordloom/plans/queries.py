@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..operators.transcode import decode, decode_blocks, encode, encode_rows
 from . import formats
+from .formats import spread
 
 #: Both sides of a JSON round trip: the default keeps milliseconds only.
 JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
@@ -24,12 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """A table in fewer pieces than there are cores, such as one row group, is dealt out by rows; larger ones are not shuffled."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def json_roundtrip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spark's own JSON functions on both sides."""
     rows = table(spark, sf_dir, "orders")
