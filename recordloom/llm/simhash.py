@@ -111,6 +111,24 @@ def links(points: DataFrame, bands, own: list[str], verified, confirmed=None) ->
     return edges(roots).unionByName(cross).distinct()
 
 
+#: Parts of a key's rows that are reduced before they meet: a key of any number of rows brings at most so many to one task.
+SALTS = 256
+
+
+def with_least(rows: DataFrame, key: str, member: str, value: str) -> DataFrame:
+    """rows with the least value of their key, in the column least. Each key's rows are dealt out by a hash of member, so that a key
+    that holds a large part of all rows is no task's load."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(member), F.lit(SALTS)))
+    parts = salted.groupBy(key, "salt").agg(F.min(value).alias("least"))
+    return salted.join(parts.select(key, "salt", F.min("least").over(Window.partitionBy(key)).alias("least")), [key, "salt"]).drop("salt")
+
+
+def lowest(nodes: DataFrame, id_col: str, roots: DataFrame) -> DataFrame:
+    """id_col, component_id of nodes (id_col, low): the least low of the nodes that have the same root (u, root). A node that is no u is its own."""
+    named, _ = stored(nodes.join(roots, F.col(id_col) == F.col("u"), "left").select(id_col, "low", F.coalesce("root", id_col).alias("root")), "named")
+    return with_least(named, "root", id_col, "low").select(id_col, F.col("least").alias("component_id"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node of edges (u > v): root is the smallest node that u reaches. Large-star and small-star steps
     until nothing changes; only minima are grouped, no neighbour list is ever collected, and each round is written to the
@@ -122,11 +140,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             return edges.select("u", F.col("v").alias("root"))
         seen = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        both = with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "u", "v", "v")
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
+        small = with_least(large, "u", "v", "v").select(F.when(F.col("v") != F.col("least"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("least").alias("v")).where("u > v").distinct()
         old = path
         edges, path = stored(small, "edges")
         remove(edges.sparkSession, old)
@@ -145,9 +161,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "d
     fps, _ = stored(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
     nodes, _ = stored(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     near = links(nodes.select(F.col("fp").alias("id"), F.col("fp").alias("f0")), WHOLE, ["f0"], lambda a, b: F.expr(f"bit_count({a}f0 ^ {b}f0) <= {BITS}"))
-    named, _ = stored(nodes.join(components(near), nodes.fp == F.col("u"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "named")
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    out = fps.join(named.join(lowest, "root").select("fp", "component_id"), "fp", "left")
+    out = fps.join(lowest(nodes, "fp", components(near)), "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -292,9 +306,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes, _ = stored(found.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ["size", "cells", *PARITIES]]), "nodes")
     points = nodes.select("id", "size", *PARITIES, F.posexplode("cells").alias("at", "cell"))
     near = links(points, None, ["size", "at", *PARITIES], reachable, similar(docs, nodes.select("id", "low")))
-    named, _ = stored(nodes.join(components(near), nodes.id == F.col("u"), "left").select("id", "low", F.coalesce("root", "id").alias("root")), "named")
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return found.join(named.join(lowest, "root").select(F.col("id").alias("node"), "component_id"), "node").select("doc_id", "component_id")
+    return found.join(lowest(nodes, "id", components(near)).withColumnRenamed("id", "node"), "node").select("doc_id", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -337,6 +337,19 @@ def test_links_of_clusters(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+def test_components_of_a_hub_and_a_chain(spark):
+    """A hub with more neighbours than a key's parts, a chain, and a node without links."""
+    hub = [(k, 5) for k in range(6, 1500)]
+    chain = [(k + 1, k) for k in range(2000, 2040)]
+    edges = spark.createDataFrame(hub + chain + [(2020, 9)], "u long, v long")
+    found = simhash.components(edges)
+    roots = {x.u: x.root for x in found.collect()}
+    assert roots == {k: 5 for k in [*range(6, 1500), *range(2000, 2041)]}
+    nodes = spark.createDataFrame([(k, 7000 - k) for k in [3, 5, *roots]], "id long, low long")
+    lows = {x.id: x.component_id for x in simhash.lowest(nodes, "id", found).collect()}
+    assert lows == {3: 6997, **{k: 7000 - 2040 for k in [5, *roots]}}
+
+
 def test_near_copies(spark):
     r = random.Random(9)
     rows, groups = [], []
