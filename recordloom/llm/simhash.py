@@ -111,22 +111,26 @@ def links(points: DataFrame, bands, own: list[str], verified, confirmed=None) ->
     return edges(roots).unionByName(cross).distinct()
 
 
-#: Parts of a key's rows that are reduced before they meet: a key of any number of rows brings at most so many to one task.
-SALTS = 256
+#: A key is hot if it holds more than one row in so many; at most so many keys are, so they may be broadcast. A hot key's rows are dealt
+#: out in SALTS parts, the rows of any other key meet in one task.
+HOT, SALTS = 4096, 256
 
 
-def with_least(rows: DataFrame, key: str, member: str, value: str) -> DataFrame:
-    """rows with the least value of their key, in the column least. Each key's rows are dealt out by a hash of member, so that a key
-    that holds a large part of all rows is no task's load."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(member), F.lit(SALTS)))
-    parts = salted.groupBy(key, "salt").agg(F.min(value).alias("least"))
-    return salted.join(parts.select(key, "salt", F.min("least").over(Window.partitionBy(key)).alias("least")), [key, "salt"]).drop("salt")
+def with_least(rows: DataFrame, total: int, key: str, member: str, value: str) -> DataFrame:
+    """rows, total in number, with the least value of their key, in the column least. Rows of a hot key are dealt out by a hash of
+    member, and its least value comes by broadcast; so a key that holds a large part of all rows is no task's load."""
+    held = rows.groupBy(key).agg(F.min(value).alias("hot_least"), F.count(F.lit(1)).alias("held"))
+    hot = held.where(F.col("held") * HOT > total).select(F.col(key).alias("hot_key"), "hot_least")
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    salted = dealt.withColumn("salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(member), F.lit(SALTS))).otherwise(-1))
+    least = F.coalesce("hot_least", F.min(value).over(Window.partitionBy(key, "salt")))
+    return salted.withColumn("least", least).drop("salt", "hot_key", "hot_least")
 
 
 def lowest(nodes: DataFrame, id_col: str, roots: DataFrame) -> DataFrame:
     """id_col, component_id of nodes (id_col, low): the least low of the nodes that have the same root (u, root). A node that is no u is its own."""
     named, _ = stored(nodes.join(roots, F.col(id_col) == F.col("u"), "left").select(id_col, "low", F.coalesce("root", id_col).alias("root")), "named")
-    return with_least(named, "root", id_col, "low").select(id_col, F.col("least").alias("component_id"))
+    return with_least(named, named.count(), "root", id_col, "low").select(id_col, F.col("least").alias("component_id"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -140,9 +144,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             return edges.select("u", F.col("v").alias("root"))
         seen = state
-        both = with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "u", "v", "v")
-        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
-        small = with_least(large, "u", "v", "v").select(F.when(F.col("v") != F.col("least"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("least").alias("v")).where("u > v").distinct()
+        both = with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * state[0], "u", "v", "v")
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))  # a row for each edge
+        small = with_least(large, state[0], "u", "v", "v").select(F.when(F.col("v") != F.col("least"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("least").alias("v")).where("u > v").distinct()
         old = path
         edges, path = stored(small, "edges")
         remove(edges.sparkSession, old)
