@@ -145,8 +145,9 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select("u", F.col("v").alias("root"))
         seen = state
         both = with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * state[0], "u", "v", "v")
-        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))  # a row for each edge
-        small = with_least(large, state[0], "u", "v", "v").select(F.when(F.col("v") != F.col("least"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("least").alias("v")).where("u > v").distinct()
+        # A row for each edge. Rows of equal ends that come from different nodes are told apart by these, else they would share a salt.
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"), F.col("u").alias("via"))
+        small = with_least(large, state[0], "u", "via", "v").select(F.when(F.col("v") != F.col("least"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("least").alias("v")).where("u > v").distinct()
         old = path
         edges, path = stored(small, "edges")
         remove(edges.sparkSession, old)
