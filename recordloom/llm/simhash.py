@@ -17,6 +17,15 @@ SEED = 42
 CHUNK = 1 << 15
 
 
+def ones_of(h: np.ndarray) -> np.ndarray:
+    """In how many hashes each bit is 1."""
+    return np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, shingle: int) -> int:
     """64 majority bits over XXH64 of every word shingle, repeats included; fewer words: the whole sequence; none: zero."""
     from xxhash import xxh64_intdigest
@@ -29,10 +38,9 @@ def fingerprint(text: bytes, shingle: int) -> int:
     ones, left = np.zeros(64, np.int64), n
     while left:  # a long text in chunks: memory stays bounded
         size = min(left, CHUNK)
-        h = np.fromiter((xxh64_intdigest(next(grams), SEED) for _ in range(size)), np.uint64, size)
-        ones += np.unpackbits(h.view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += ones_of(np.fromiter((xxh64_intdigest(next(grams), SEED) for _ in range(size)), np.uint64, size))
         left -= size
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,32 +183,38 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The pipeline's stage. Links: exact Jaccard similarity of the sets of five-word shingles of at least SIMILAR fifths.
-#: Candidates are all pairs that can have it. In one order of all shingles, two such sets share one of the first n - ceil(0.8 n) + 1
-#: of each, n its size (the prefix). So these are a text's cells, and no pair is left out. At the first shingle they share,
-#: all they can still share lies behind it in both, and the parities of two sets' counts in 256 classes of shingles differ in no more
-#: classes than the sets have shingles that the other lacks. Both bounds are exact and pass over most pairs that meet by chance.
+#: A text's cells are its prefix: in one order of all shingles, two such sets share one of the first
+#: n - ceil(0.8 n) + 1 of each, n its size. So no pair is left out. They share even more of these, by their sizes, and the parities of
+#: two sets' counts in 256 classes of shingles differ in no more classes than the sets have shingles that the other lacks. All
+#: bounds are exact and pass over most pairs that meet by chance; every other pair is compared by all its shingles.
 STAGE_SHINGLE, SIMILAR = 5, 4
 PARITIES = ["p0", "p1", "p2", "p3"]
+#: Pairs of neighbours in a cell are compared before all others if their fingerprints differ in at most so many bits. This only saves
+#: comparisons: whoever is not joined by it is compared with the whole cell. Texts of a similarity of 0.8 differ in 10 bits on average.
+SOON = 12
 #: The order: shingles that fewer texts have come first, so that cells are small. Counts of at least two in about so many texts, and of
 #: at most so many shingles, tell frequent ones from rare ones. Any order finds every pair; this one only saves comparisons.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1 << 18
 
 
-def shingles(words: list[bytes]) -> set[bytes]:
-    return set(map(b" ".join, zip(*(words[k:] for k in range(STAGE_SHINGLE))))) if len(words) >= STAGE_SHINGLE else {b" ".join(words)}
-
-
 def node_of(words: list[bytes]) -> int:
     from xxhash import xxh64_intdigest
 
     return xxh64_intdigest(b" ".join(words), SEED) - 2**63
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    """The distinct shingles of a text, as sorted hashes."""
+def hashed(words: list[bytes]) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included; fewer words: of the whole sequence."""
     from xxhash import xxh64_intdigest
 
-    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in shingles(words)), np.uint64)).view(np.int64)
+    n = max(1, len(words) - STAGE_SHINGLE + 1)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(STAGE_SHINGLE)))) if len(words) >= STAGE_SHINGLE else [b" ".join(words)]
+    return np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, n)
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    """The distinct shingles of a text, as sorted hashes."""
+    return np.unique(hashed(words)).view(np.int64)
 
 
 def words_of(x: pa.Scalar) -> list[bytes]:
@@ -236,68 +250,134 @@ def prefix(grams: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of the words in order), size (shingles of the text), cells (its prefix, in order) and PARITIES."""
+    """doc_id, node (a hash of the words in order), size (shingles of the text), f0 (the fingerprint), cells (its prefix, in order) and PARITIES."""
     order = docs.sparkSession.sparkContext.broadcast(frequent(docs))  # at most ORDER_SHINGLES pairs
 
     def run(batches):
         known, counts = order.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part, nodes, sizes, first, odd = batch.slice(lo, 256), [], [], [], []
+                part, nodes, sizes, fps, first, odd = batch.slice(lo, 256), [], [], [], [], []
                 for x in part.column(1).cast(pa.large_binary()):
                     words = words_of(x)
-                    grams = hashes(words)
+                    h = hashed(words)
+                    grams = np.unique(h).view(np.int64)
                     nodes.append(node_of(words))
                     sizes.append(len(grams))
+                    fps.append(majority(sum(ones_of(h[k : k + CHUNK]) for k in range(0, len(h), CHUNK)), len(h)) if words else 0)
                     first.append(prefix(grams, known, counts))
                     odd.append(np.packbits(np.bincount(grams & 255, minlength=256) & 1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), *map(pa.array, np.array(odd).T)], names=["doc_id", "node", "size", "cells", *PARITIES])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64())), *map(pa.array, np.array(odd).T)], names=["doc_id", "node", "size", "f0", "cells", *PARITIES])
+
+    return pick(docs, doc_id=("doc_id", "long"), text="text").mapInArrow(run, "doc_id long, node long, size int, f0 long, cells array<long>, " + ", ".join(f"{c} long" for c in PARITIES))
 
-    return pick(docs, doc_id=("doc_id", "long"), text="text").mapInArrow(run, "doc_id long, node long, size int, cells array<long>, " + ", ".join(f"{c} long" for c in PARITIES))
 
+def alike(a: str, b: str) -> str:
+    """Whether two texts can be similar enough by their sizes and parities."""
+    apart = " + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in PARITIES)
+    return f"5 * least({a}size, {b}size) >= {SIMILAR} * greatest({a}size, {b}size) AND {5 + SIMILAR} * ({apart}) <= {5 - SIMILAR} * ({a}size + {b}size)"
 
-def reachable(a: str, b: str):
-    """Whether two texts that share the shingles at these places of their orders, and none before, can be similar enough."""
-    both, apart = f"least({a}size - {a}at, {b}size - {b}at)", " + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in PARITIES)
-    return F.expr(f"{5 + SIMILAR} * {both} >= {SIMILAR} * ({a}size + {b}size) AND {5 + SIMILAR} * ({apart}) <= {5 - SIMILAR} * ({a}size + {b}size)")
+
+def met(a: str, b: str) -> str:
+    """Whether what two texts can share before and from the places of a shared shingle in their orders is enough."""
+    both = f"least({a}at, {b}at) + least({a}size - {a}at, {b}size - {b}at)"
+    return f"{5 + SIMILAR} * ({both}) >= {SIMILAR} * ({a}size + {b}size)"
+
+
+def enough() -> str:
+    """Whether two texts that share n shingles of their prefixes, the last at these places (at_u, at_v), can be similar enough. The
+    prefix that ends first in the order holds all that it shares with the other text, so they share at most n, what lies behind this
+    prefix, and what lies behind the last place in the other text."""
+    behind = [f"least(floor(({SIMILAR} * size_{x} - 1) / 5), size_{y} - 1 - at_{y})" for x, y in ("uv", "vu")]
+    return f"{5 + SIMILAR} * (n + greatest({', '.join(behind)})) >= {SIMILAR} * (size_u + size_v)"
 
 
 def similar(docs: DataFrame, nodes: DataFrame):
     """Keeps pairs (u, v) of nodes whose texts' shingles have a Jaccard similarity of SIMILAR fifths or more, by comparing them all."""
 
-    def hashed(batches):
+    def own(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part, named, sets = batch.slice(lo, 256), [], []
-                for node, x in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary())):
-                    words = words_of(x)
-                    if node_of(words) == node:  # not another text under the same id
-                        named.append(node)
-                        sets.append(hashes(words))
-                yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
+            same = [node_of(words_of(x)) == node for node, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()))]
+            yield batch.filter(pa.array(same, pa.bool_()))  # not another text under the same id
 
     def compared(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
+            for x, y in zip(batch.column(2).cast(pa.large_binary()), batch.column(3).cast(pa.large_binary())):
+                a, b = hashes(words_of(x)), hashes(words_of(y))
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(5 * both >= SIMILAR * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs, _ = stored(pairs, "pairs")
         asked = pairs.select(F.col("u").alias("asked")).union(pairs.select("v")).distinct()
         named = nodes.join(asked, nodes.id == F.col("asked"), "left_semi").select(F.col("id").alias("node"), "low")
         texts = pick(docs, low=("doc_id", "long"), text="text")
-        grams = texts.join(named, "low").select("node", "text").mapInArrow(hashed, "node long, grams array<long>")
-        grams, _ = stored(grams, "grams")
-        left = pairs.join(grams.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u")
-        both = left.join(grams.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v").select("u", "v", "a", "b")
-        return stored(both.mapInArrow(compared, "u long, v long").distinct(), "confirmed")[0]
+        texts, path = stored(texts.join(named, "low").select("node", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(own, "node long, text string").groupBy("node").agg(F.first("text").alias("text")), "texts")
+        left = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+        both = left.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+        found, _ = stored(both.mapInArrow(compared, "u long, v long"), "confirmed")
+        remove(docs.sparkSession, path)
+        return found
 
     return confirmed
 
 
+def rooted(rows: DataFrame, id_col: str, root_col: str, roots: DataFrame) -> DataFrame:
+    side = roots.select(F.col("u").alias("rooted_u"), F.col("root").alias("rooted_root"))
+    return rows.join(side, F.col(id_col) == F.col("rooted_u"), "left").withColumn(root_col, F.coalesce("rooted_root", id_col)).drop("rooted_u", "rooted_root")
+
+
+def edges_of(roots: DataFrame) -> DataFrame:
+    return roots.select("u", F.col("root").alias("v")).where("u > v")
+
+
+def similar_links(dealt: DataFrame, nodes: DataFrame, confirmed) -> DataFrame:
+    """Links (u, v), u > v, that join the ids of all nodes whose texts are similar, directly or over others.
+
+    dealt: cell, id, at, a row for each cell of a node; nodes: id (distinct), size, f0, PARITIES. confirmed keeps of distinct pairs
+    (u, v) those that are links. Only ids are sorted into cells, and those that are alone in theirs go no further.
+
+    A cell may hold any number of nodes. Each is compared with the cell's first, then, if it is in another component, with the one before it in
+    an order of the cell's own, if their fingerprints are near. Members that this leaves in another component than the first's are then compared with the
+    whole cell, so a cell in which all are alike costs its size and not its square, and no pair across components is left out:
+    two nodes in different components meet in every cell that they share, so the shared ones can be counted.
+    """
+    spark = dealt.sparkSession
+    w = Window.partitionBy("cell").orderBy("id", "at")
+    first = F.first("id").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shared = dealt.select("cell", "id", "at", first.alias("first"), F.lead("id").over(w).alias("next")).where("next != first OR id != first").drop("next")
+    before = F.lag("id").over(Window.partitionBy("cell").orderBy(F.xxhash64("id", "cell"), "id"))
+    shared, shared_path = stored(shared.withColumn("before", before), "cells")
+    facts = nodes.select("id", "size", "f0", *PARITIES)
+
+    def side(of: str, p: str) -> DataFrame:
+        return facts.select(F.col("id").alias(of), *[F.col(c).alias(f"{p}{c}") for c in ["size", "f0", *PARITIES]])
+
+    def soon(other: str) -> DataFrame:
+        pairs = shared.where(f"id != {other}").select(F.greatest("id", other).alias("u"), F.least("id", other).alias("v")).distinct()
+        return pairs.join(side("u", "l_"), "u").join(side("v", "r_"), "v").where(f"bit_count(l_f0 ^ r_f0) <= {SOON} AND {alike('l_', 'r_')}").select("u", "v")
+
+    roots, _ = stored(components(confirmed(soon("first"))), "roots")
+    apart = rooted(rooted(soon("before"), "u", "u_root", roots), "v", "v_root", roots).where("u_root != v_root").select("u", "v")
+    roots, _ = stored(components(edges_of(roots).unionByName(confirmed(apart))), "roots")
+    named = rooted(shared.select("cell", "id", "at", "first").join(rooted(facts, "id", "root", roots), "id"), "first", "head_root", roots).drop("first").withColumn("odd", F.expr("root != head_root")).drop("head_root")
+    named, named_path = stored(named, "named")
+    remove(spark, shared_path)
+    odd = named.where("odd").select(F.col("cell").alias("odd_cell"), F.col("id").alias("a"), *[F.col(c).alias(f"l_{c}") for c in ["root", "at", "size", "f0", *PARITIES]])
+    rest = named.select("cell", F.col("id").alias("b"), F.col("odd").alias("r_odd"), *[F.col(c).alias(f"r_{c}") for c in ["root", "at", "size", "f0", *PARITIES]])
+    once = "l_root != r_root AND (NOT r_odd OR a > b)"  # of two odd ones, the pair comes once
+    cross = odd.join(rest, (F.col("odd_cell") == F.col("cell")) & F.expr(f"{once} AND {alike('l_', 'r_')} AND {met('l_', 'r_')}"))
+    ends = [F.expr(f"IF(a {sign} b, l_{c}, r_{c})").alias(f"{c}_{x}") for x, sign in (("u", ">"), ("v", "<")) for c in ("size", "at")]
+    counted = cross.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), *ends).groupBy("u", "v", "size_u", "size_v")
+    counted = counted.agg(F.max("at_u").alias("at_u"), F.max("at_v").alias("at_v"), F.count(F.lit(1)).alias("n"))
+    found = counted.where(enough()).select("u", "v")
+    links = edges_of(roots).unionByName(confirmed(found)).distinct()
+    remove(spark, named_path)
+    return links
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of documents with an id: texts of equal words, and texts whose five-word shingles are at
     least 0.8 similar, are in one component, named by its smallest doc_id.
@@ -307,11 +387,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     an id but not a text each belong to the component of their own text. Ties: the smallest id names a component. Other columns are not read,
     whatever their names. An empty table gives an empty result.
     """
-    found, _ = stored(prefixes(docs).where("doc_id IS NOT NULL"), "prefixes")
-    nodes, _ = stored(found.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ["size", "cells", *PARITIES]]), "nodes")
-    points = nodes.select("id", "size", *PARITIES, F.posexplode("cells").alias("at", "cell"))
-    near = links(points, None, ["size", "at", *PARITIES], reachable, similar(docs, nodes.select("id", "low")))
-    return found.join(lowest(nodes, "id", components(near)).withColumnRenamed("id", "node"), "node").select("doc_id", "component_id")
+    spark = docs.sparkSession
+    found, found_path = stored(prefixes(docs).where("doc_id IS NOT NULL"), "prefixes")
+    full, full_path = stored(found.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ["size", "f0", "cells", *PARITIES]]), "full")
+    named, _ = stored(found.select("doc_id", "node"), "documents")
+    remove(spark, found_path)
+    nodes, _ = stored(full.drop("cells"), "nodes")
+    dealt = full.select("id", F.posexplode("cells").alias("at", "cell"))
+    near = similar_links(dealt, nodes, similar(docs, nodes.select("id", "low")))
+    roots = components(near)
+    remove(spark, full_path)
+    return named.join(lowest(nodes.select("id", "low"), "id", roots).withColumnRenamed("id", "node"), "node").select("doc_id", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline's near-duplicate stage against all pairs' Jaccard similarity, on near copies of each kind."""
 
+import pathlib
 import random
 
 import pytest
@@ -63,3 +64,31 @@ def test_pairs_about_the_threshold(spark, kind):
     assert sum(0.75 <= x < 0.8 for x in near) > 3 and sum(0.8 <= x <= 0.9 for x in near) > 15
     got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert {x.doc_id: x.component_id for x in got.collect()} == want
+
+
+def test_texts_that_only_share_a_passage_are_not_compared_in_full(spark, monkeypatch):
+    """Pairs that meet by chance grow with the square of the table; and no intermediate table is left behind."""
+    from recordloom.llm.common import shared_dir
+
+    r = random.Random(3)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(k, " ".join(passage + [f"o{r.randrange(10**9)}" for _ in range(170 + k)])) for k in range(40)]
+    compared, similar = [], simhash.similar
+
+    def counting(docs, nodes):
+        confirmed = similar(docs, nodes)
+
+        def run(pairs):
+            compared.append(pairs.count())
+            return confirmed(pairs)
+
+        return run
+
+    monkeypatch.setattr(simhash, "similar", counting)
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {x.doc_id: x.component_id for x in got.collect()} == {k: k for k, _ in rows}
+    assert sum(compared) <= len(rows)
+    left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
+    assert not left & {"prefixes", "full", "cells", "texts", "grams"}
