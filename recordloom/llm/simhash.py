@@ -183,7 +183,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The pipeline's stage. Links: exact Jaccard similarity of the sets of five-word shingles of at least SIMILAR fifths.
-#: A text's cells are its prefix: in one order of all shingles, two such sets share one of the first
+#: A text's cells are the grid points of its SimHash fingerprint, as in op6, where fingerprints within BITS bits meet, and its prefix, for
+#: similar texts whose fingerprints are farther apart: in one order of all shingles, two such sets share one of the first
 #: n - ceil(0.8 n) + 1 of each, n its size. So no pair is left out. They share even more of these, by their sizes, and the parities of
 #: two sets' counts in 256 classes of shingles differ in no more classes than the sets have shingles that the other lacks. All
 #: bounds are exact and pass over most pairs that meet by chance; every other pair is compared by all its shingles.
@@ -279,9 +280,10 @@ def alike(a: str, b: str) -> str:
 
 
 def met(a: str, b: str) -> str:
-    """Whether what two texts can share before and from the places of a shared shingle in their orders is enough."""
+    """Whether a cell that two texts share makes them candidates: a grid point (at is -1) if their fingerprints are linked; a shingle if
+    what they can share before and from its places in their orders is enough."""
     both = f"least({a}at, {b}at) + least({a}size - {a}at, {b}size - {b}at)"
-    return f"{5 + SIMILAR} * ({both}) >= {SIMILAR} * ({a}size + {b}size)"
+    return f"CASE WHEN {a}at < 0 OR {b}at < 0 THEN {a}at = {b}at AND bit_count({a}f0 ^ {b}f0) <= {BITS} ELSE {5 + SIMILAR} * ({both}) >= {SIMILAR} * ({a}size + {b}size) END"
 
 
 def enough() -> str:
@@ -371,13 +373,18 @@ def similar_links(dealt: DataFrame, nodes: DataFrame, confirmed) -> DataFrame:
     cross = odd.join(rest, (F.col("odd_cell") == F.col("cell")) & F.expr(f"{once} AND {alike('l_', 'r_')} AND {met('l_', 'r_')}"))
     ends = [F.expr(f"IF(a {sign} b, l_{c}, r_{c})").alias(f"{c}_{x}") for x, sign in (("u", ">"), ("v", "<")) for c in ("size", "at")]
     counted = cross.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), *ends).groupBy("u", "v", "size_u", "size_v")
-    counted = counted.agg(F.max("at_u").alias("at_u"), F.max("at_v").alias("at_v"), F.count(F.lit(1)).alias("n"))
-    found = counted.where(enough()).select("u", "v")
+    counted = counted.agg(F.min("at_u").alias("grid"), F.max("at_u").alias("at_u"), F.max("at_v").alias("at_v"), F.count_if(F.col("at_u") >= 0).alias("n"))
+    found = counted.where(f"grid < 0 OR {enough()}").select("u", "v")
     links = edges_of(roots).unionByName(confirmed(found)).distinct()
     remove(spark, named_path)
     return links
 
 
+def grid(nodes: DataFrame) -> DataFrame:
+    """cell, id, at (-1) of the grid points within one step of that of each node's fingerprint."""
+    return nodes.select(F.explode(F.expr(cells(WHOLE))).alias("cell"), "id", F.lit(-1).alias("at"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of documents with an id: texts of equal words, and texts whose five-word shingles are at
     least 0.8 similar, are in one component, named by its smallest doc_id.
@@ -393,7 +400,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     named, _ = stored(found.select("doc_id", "node"), "documents")
     remove(spark, found_path)
     nodes, _ = stored(full.drop("cells"), "nodes")
-    dealt = full.select("id", F.posexplode("cells").alias("at", "cell"))
+    dealt = grid(nodes).unionByName(full.select("id", F.posexplode("cells").alias("at", "cell")))
     near = similar_links(dealt, nodes, similar(docs, nodes.select("id", "low")))
     roots = components(near)
     remove(spark, full_path)

@@ -92,3 +92,36 @@ def test_texts_that_only_share_a_passage_are_not_compared_in_full(spark, monkeyp
     assert sum(compared) <= len(rows)
     left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
     assert not left & {"prefixes", "full", "cells", "texts", "grams"}
+
+
+def test_linked_fingerprints_are_candidates(spark):
+    """By their SimHash fingerprints alone, without a shared shingle, all similar texts within two bits are found, and no other texts."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    rows = []
+    for k in range(20):
+        w = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        for _ in range(3):
+            rows.append((len(rows), " ".join(w)))
+            w = [*w[:-1], f"n{len(rows)}"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.prefixes(docs).toPandas()
+    fps = {x.doc_id: simhash.fingerprint(rows[x.doc_id][1].encode(), 5) for x in found.itertuples()}
+    assert {x.doc_id: x.f0 % 2**64 for x in found.itertuples()} == fps
+    root = {k: k for k in fps}
+    for a in sorted(fps):
+        for b in sorted(fps):
+            if a < b and a // 3 == b // 3 and (fps[a] ^ fps[b]).bit_count() <= simhash.BITS:
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    assert sum(k != v for k, v in root.items()) > 10
+    nodes = simhash.prefixes(docs).selectExpr("node id", "doc_id low", "size", "f0", *simhash.PARITIES)
+    links = simhash.similar_links(simhash.grid(nodes), nodes, simhash.similar(docs, nodes.select("id", "low")))
+    ids = {x.node: x.doc_id for x in found.itertuples()}
+    got = simhash.components(links).toPandas()
+    place = {ids[x.u]: ids[x.root] for x in got.itertuples()}
+    place = {k: place.get(k, k) for k in root}
+    assert all(place[k] == place[v] for k, v in root.items())
+    assert all(k // 3 == v // 3 for k, v in place.items())
+    assert simhash.grid(nodes).where(F.col("at") != -1).count() == 0
