@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,25 @@ def cleaned_shuffles(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker. Spark's own bound is 10,000 rows: tens of MB of texts, which the
+#: executor and the worker each hold several times, for every task.
+BATCH = 2 << 20
+
+
+def small_batches(step):
+    """A stage (spark, docs, sf_dir) whose batches to Python workers hold at most BATCH bytes, or one longer row. The bound stays in
+    the session, as a stage's rows are made after it returns; one that the session has already is left as it is."""
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(BATCH))
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows written as Parquet to the shared folder and read again: lineage ends here and a lost executor costs nothing."""
     path = scratch(df.sparkSession, name)

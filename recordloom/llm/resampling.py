@@ -28,7 +28,7 @@ KEEP_WEIGHT = 4
 #: Log weights are divided by it before the Gumbel noise is added.
 TEMPERATURE = 1.0
 SEED = 7
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Log weights and keys are compared as integers of this step, so that every engine and run agrees.
