@@ -20,12 +20,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import value as V
-from ..codecs import avro, cbor, json_text, msgpack
+from ..codecs import avro, cbor, json_text, msgpack, protobuf
+from ..errors import ProtobufError
 
 FORMATS = ("avro", "cbor", "json", "messagepack")
 INTEGERS = {T.ByteType: "i8", T.ShortType: "i16", T.IntegerType: "i32", T.LongType: "i64"}
-#: Rows of a decoded batch.
-ROWS = 8_192
+#: Rows of a decoded batch, and bytes of the blocks that are decoded together.
+ROWS, GROUP = 8_192, 1 << 20
 
 
 class Ragged(NamedTuple):
@@ -481,19 +482,40 @@ def column_of(cells: list, kind: pa.DataType) -> pa.Array:
     return pa.array(cells, kind)
 
 
+def grouped(batches) -> Iterator[list[bytes]]:
+    """The blocks of Arrow batches in groups that are decoded together: ROWS blocks or GROUP bytes at most, or one larger block."""
+    held, size = [], 0
+    for batch in batches:
+        for block in batch.column(0):
+            block = block.as_py()
+            if held and (len(held) == ROWS or size + len(block) > GROUP):
+                yield held
+                held, size = [], 0
+            held.append(block)
+            size += len(block)
+    if held:
+        yield held
+
+
+def protobuf_rows(blocks: list[bytes], kind, schema: T.StructType, decode: Callable) -> Iterator[pa.RecordBatch]:
+    """One message a block as rows of the schema, by whole columns where its fields are the schema's."""
+    try:
+        yield pa.RecordBatch.from_arrays(protobuf.columns(blocks, kind, schema), schema=to_arrow_schema(schema))
+    except (protobuf.Other, ProtobufError):  # the general way raises the error of the first bad message
+        yield from typed((v for block in blocks for v in decode(block)), schema)
+
+
 def decode(fmt: str, data: bytes, schema: T.StructType) -> Iterator[pa.RecordBatch]:
     """The records of a block as rows of the schema, which decodable() allows."""
+    return decode_all(fmt, [data], schema)
+
+
+def decode_all(fmt: str, blocks: list[bytes], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """The records of blocks, one after the other: small blocks share a batch of rows."""
     if fmt == "json":
-        yield from _json(data, schema)
+        yield from _json(blocks, schema)
         return
     arrow, cells, names = to_arrow_schema(schema), V.writer(schema), schema.json()
-    if fmt == "avro":
-        whole = avro._Reader(data)
-        own, codec, sync = avro.header(whole)
-        rows = avro_rows(own.text, names)
-        parts = avro.container_parts(whole, codec, sync)
-    else:
-        own, rows, parts = None, map_rows(fmt, names), [(None, data)]
     held = [[] for _ in schema]
 
     def batch() -> pa.RecordBatch:
@@ -502,7 +524,17 @@ def decode(fmt: str, data: bytes, schema: T.StructType) -> Iterator[pa.RecordBat
             c.clear()
         return out
 
-    for count, part in parts:
+    def parts_of(data: bytes):
+        if fmt != "avro":
+            yield None, map_rows(fmt, names), None, data
+            return
+        whole = avro._Reader(data)
+        own, codec, sync = avro.header(whole)
+        rows = avro_rows(own.text, names)
+        for count, part in avro.container_parts(whole, codec, sync):
+            yield own, rows, count, part
+
+    for own, rows, count, part in (p for data in blocks for p in parts_of(data)):
         reader = {"avro": avro, "cbor": cbor, "messagepack": msgpack}[fmt]._Reader(part)
 
         def general(at: int) -> int:
@@ -535,27 +567,13 @@ def _constant(text: str):
 _scan = json.JSONDecoder(object_pairs_hook=list, parse_constant=_constant).scan_once
 
 
-def _json(data: bytes, schema: T.StructType) -> Iterator[pa.RecordBatch]:
-    arrow, names = to_arrow_schema(schema), tuple(schema.names)
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError as e:
-        raise json_text.JsonError("not UTF-8") from e
-    at, n = 0, len(text)
-    while at < n:
-        start, rows = at, []
+def _json(blocks: list[bytes], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    arrow, names, rows, held = to_arrow_schema(schema), tuple(schema.names), [], []
+    unfit = (Other, ValueError, TypeError, OverflowError, RecursionError, StopIteration, pa.ArrowException)
+
+    def batch() -> Iterator[pa.RecordBatch]:
+        """The rows since the last batch, whose text is held: if a column does not take them they go the general way."""
         try:
-            while at < n and len(rows) < ROWS:
-                if text[at] == "{":
-                    got, at = _scan(text, at)
-                    keys, row = zip(*got)
-                    if keys != names:
-                        raise Other
-                    rows.append(row)
-                elif text[at] in json_text.BLANK:
-                    at += 1
-                else:
-                    raise Other
             columns = []
             for c, f in zip(zip(*rows), arrow):
                 kinds = set(map(type, c)) - {type(None)}
@@ -564,8 +582,41 @@ def _json(data: bytes, schema: T.StructType) -> Iterator[pa.RecordBatch]:
                 columns.append(column_of(list(c), f.type))
                 if pa.types.is_floating(f.type) and pc.any(pc.is_inf(columns[-1])).as_py():
                     raise Other
-        except (Other, ValueError, TypeError, OverflowError, RecursionError, StopIteration, pa.ArrowException):
-            yield from typed(json_text.decode(text[start:].encode()), schema)
-            return
-        if rows:
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            out = [pa.RecordBatch.from_arrays(columns, schema=arrow)] if rows else []
+        except unfit:
+            out = typed((v for text, lo, hi in held for v in json_text.decode(text[lo:hi].encode())), schema)
+        yield from out
+        rows.clear()
+        held.clear()
+
+    for data in blocks:
+        try:
+            text = data.decode("utf-8")
+        except UnicodeDecodeError as e:
+            yield from batch()
+            raise json_text.JsonError("not UTF-8") from e
+        at, n = 0, len(text)
+        while at < n:
+            start, odd = at, False
+            try:
+                while at < n and len(rows) < ROWS:
+                    if text[at] == "{":
+                        got, end = _scan(text, at)
+                        keys, row = zip(*got)
+                        if keys != names:
+                            raise Other
+                        rows.append(row)
+                        at = end
+                    elif text[at] in json_text.BLANK:
+                        at += 1
+                    else:
+                        raise Other
+            except unfit:
+                odd = True
+            held.append((text, start, at))
+            if odd or len(rows) == ROWS:
+                yield from batch()
+            if odd:
+                yield from typed(json_text.decode(text[at:].encode()), schema)
+                break
+    yield from batch()

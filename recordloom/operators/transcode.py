@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import value as V
-from ..codecs import avro, decoder, encoder
+from ..codecs import avro, decoder, encoder, protobuf
 from ..sinks.records import write_records
 from ..sources.records import read_records
 from . import columnar
@@ -72,9 +72,14 @@ def decode_blocks(blocks: DataFrame, fmt: str, schema, **options) -> DataFrame:
 
     def run(batches):
         decode = decoder(fmt, options)
-        for batch in batches:
-            for block in batch.column(0):
-                yield from columnar.decode(fmt, block.as_py(), schema) if by_columns else columnar.typed(decode(block.as_py()), schema)
+        kind = protobuf.Descriptors(options["descriptors"]).message(options["message"]) if fmt == "protobuf" else None
+        for blocks in columnar.grouped(batches):
+            if kind:
+                yield from columnar.protobuf_rows(blocks, kind, schema, decode)
+            elif by_columns:
+                yield from columnar.decode_all(fmt, blocks, schema)
+            else:
+                yield from columnar.typed((v for block in blocks for v in decode(block)), schema)
 
     return blocks.select("block").mapInArrow(run, schema)
 

@@ -22,15 +22,21 @@ from ..sources.records import read_records
 #: The ANSI styles of readable JSON output, as SQL sees them.
 BOLD, QUOTE, CHARS, KEY_QUOTE, KEY_CHARS, NUMBER = "1", "2;32", "32", "2;34", "34", "34"
 
+#: Rows of a piece of a table that is dealt out.
+DEALT = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """A table in fewer pieces than there are cores, such as one row group, is dealt out by rows; larger ones are not shuffled."""
+    """A table whose largest piece holds more than twice its share of the rows, such as one row group however many splits its file
+    has, is dealt out by rows; others are not shuffled. The rows are counted by Parquet's footers."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    counts = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("piece")).count().collect()]
+    share = sum(counts) / cores
+    return rows.repartition(max(cores, sum(counts) // DEALT)) if counts and max(counts) > 2 * share else rows
 
 
 def through_files(name: str, fmt: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -185,21 +191,22 @@ def protobuf_nested_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested, repeated, enumerated and map fields of messages that the public library writes."""
     descriptors = protobuf.link([protobuf.ProtoParser(LINE_PROTO, "line.proto").parse()]).SerializeToString()
 
+    fields = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    flags = {"A": 1, "N": 2, "R": 3}
+
     def run(batches):
         kind = protobuf.Descriptors(descriptors).message(".shop.Line")
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                m = kind()
-                m.order, m.number, m.shipped = row["l_orderkey"], row["l_linenumber"], row["l_linestatus"]
-                m.part.key, m.part.supplier = row["l_partkey"], row["l_suppkey"]
-                m.flag = {"A": 1, "N": 2, "R": 3}.get(row["l_returnflag"], 0)
-                m.amounts.extend([row["l_quantity"], row["l_extendedprice"]])
-                m.rates["tax"], m.rates["discount"] = row["l_tax"], row["l_discount"]
+            for order, part, supplier, number, quantity, price, discount, tax, flag, status in zip(*(c.to_pylist() for c in batch.columns)):
+                m = kind(order=order, number=number, shipped=status, flag=flags.get(flag, 0), amounts=(quantity, price))
+                m.part.key, m.part.supplier = part, supplier
+                rates = m.rates
+                rates["tax"], rates["discount"] = tax, discount
                 out.append(m.SerializeToString())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["block"])
 
-    blocks = table(spark, sf_dir, "lineitem").drop("l_shipdate").mapInArrow(run, "block binary")
+    blocks = spread(table(spark, sf_dir, "lineitem").select(fields)).mapInArrow(run, "block binary")
     schema = "order long, part struct<key: long, supplier: long>, flag string, amounts array<double>, rates map<string, double>, shipped string, number int"
     rows = decode_blocks(blocks, "protobuf", schema, descriptors=descriptors, message=".shop.Line")
     picked = {"l_orderkey": "order", "l_partkey": "part.key", "l_suppkey": "part.supplier", "l_linenumber": "number", "l_returnflag": "flag", "l_linestatus": "shipped", "l_quantity": "amounts[0]", "l_extendedprice": "amounts[1]", "l_tax": "rates['tax']", "l_discount": "rates['discount']"}

@@ -98,7 +98,7 @@ def protobuf_decode_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(b"\x08" + varint(key) + b"\x12" + varint(len(data)) + data)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["block"])
 
-    blocks = table(spark, sf_dir, "customer").select("c_custkey", "c_name").mapInArrow(run, "block binary")
+    blocks = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).mapInArrow(run, "block binary")
     rows = decode_blocks(blocks, "protobuf", "key long, name string", descriptors=descriptors, message=".shop.Customer")
     return rows.select(F.col("key").alias("c_custkey"), F.col("name").alias("c_name"))
 

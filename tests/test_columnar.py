@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import types as T
 
 from recordloom import value as V
-from recordloom.codecs import avro, decoder, encoder
+from recordloom.codecs import avro, decoder, encoder, protobuf
 from recordloom.errors import EngineError
 from recordloom.operators import columnar
 
@@ -94,3 +94,41 @@ def test_rows_of_other_shapes_take_the_general_way(fmt):
 def test_bad_input_raises(fmt, data):
     with pytest.raises(EngineError):
         list(columnar.decode(fmt, data, fields(a="long")))
+
+
+def test_small_blocks_share_a_batch_and_keep_their_rows():
+    schema = fields(a="long", c="string")
+    row = lambda k: ("m", [(("s", "a"), ("i64", k)), (("s", "c"), ("s", str(k)))])
+    odd = ("m", [(("s", "c"), ("s", "odd")), (("s", "a"), V.UNIT)])
+    for fmt in columnar.FORMATS:
+        options = {"schema": avro.schema_of(schema)} if fmt == "avro" else {}
+        blocks = [b"".join(encoder(fmt, options)([odd if k == 50 else row(k)])) for k in range(100)]
+        got = list(columnar.decode_all(fmt, blocks, schema))
+        assert len(got) <= 3
+        assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(None, "odd") if k == 50 else (k, str(k)) for k in range(100)]
+    with pytest.raises(EngineError):  # a value may not go on in the next block
+        list(columnar.decode_all("json", [b'{"a":1,"c":', b'"x"}'], schema))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * 300_000] * 9, pa.binary())], names=["block"])
+    assert [len(g) for g in columnar.grouped([batch])] == [3, 3, 3]
+
+
+def test_protobuf_by_columns_gives_the_rows_of_the_general_way(spark):
+    proto = """syntax = "proto3"; package t; enum E { A = 0; B = 1; }
+message M { message P { int64 k = 1; optional string n = 2; P p = 3; } int64 i = 1; sint32 j = 2; P p = 3; repeated P ps = 4; repeated double ds = 5; map<string, int64> m = 6; E e = 7; oneof o { string s = 8; bytes y = 9; } bool b = 10; float f = 11; uint64 u = 12; map<int32, P> mp = 13; }"""
+    data = protobuf.link([protobuf.ProtoParser(proto, "t.proto").parse()]).SerializeToString()
+    descriptors = protobuf.Descriptors(data)
+    kind, decode = descriptors.message(".t.M"), decoder("protobuf", {"descriptors": data, "message": ".t.M"})
+    full = kind(i=-5, j=-6, p={"k": 1, "n": "é", "p": {"k": 2}}, ps=[{"k": 3}, {"n": ""}], ds=[0.5, -1.0], m={"x": 1, "y": 2}, e=1, s="t", b=True, f=0.1, u=7, mp={1: {"k": 9}})
+    blocks = [full.SerializeToString(), b"", kind(e=7, y=b"\xff", p={}).SerializeToString(), full.SerializeToString()]
+    ddl = "i long, j int, p struct<k: long, n: string, p: struct<k: long>>, ps array<struct<k: long, n: string>>, ds array<double>, m map<string, long>, e string, s string, y binary, b boolean, f double, u long, mp map<int, struct<k: long>>, none string"
+    rows = lambda batches: [[(c, sorted(v) if c in ("m", "mp") else v) for c, v in r.items()] for b in batches for r in b.to_pylist()]
+    general = lambda schema, blocks: columnar.typed((v for b in blocks for v in decode(b)), schema)
+    for text in (ddl, "i string, p string", "i double, u int"):  # the last two have other kinds than the message
+        schema = T.StructType.fromDDL(text)
+        assert rows(columnar.protobuf_rows(blocks, kind, schema, decode)) == rows(general(schema, blocks))
+    schema = T.StructType.fromDDL(ddl)
+    assert [b.num_rows for b in columnar.protobuf_rows(blocks, kind, schema, decode)] == [4]
+    assert len(protobuf.columns(blocks, kind, schema)) == len(schema)
+    for bad, text in ((b"\x08", ddl), (kind(u=2**63).SerializeToString(), ddl), (kind(i=2**40).SerializeToString(), "i int")):
+        with pytest.raises(EngineError):
+            list(columnar.protobuf_rows([*blocks, bad], kind, T.StructType.fromDDL(text), decode))
