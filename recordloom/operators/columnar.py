@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -25,6 +27,7 @@ from ..errors import ProtobufError
 
 FORMATS = ("avro", "cbor", "json", "messagepack")
 INTEGERS = {T.ByteType: "i8", T.ShortType: "i16", T.IntegerType: "i32", T.LongType: "i64"}
+NUMBERS = (T.FloatType, T.DoubleType)
 #: Rows of a decoded batch, and bytes of the blocks that are decoded together.
 ROWS, GROUP = 8_192, 1 << 20
 
@@ -273,6 +276,120 @@ def container(data: np.ndarray, edge: np.ndarray, options: dict) -> Iterator[byt
         at = to
 
 
+# envelopes
+
+TAG = {T.BooleanType: "b", **INTEGERS, T.FloatType: "f32", T.DoubleType: "f64", T.StringType: "s"}
+NEEDS_ESCAPE = r'["\\\x00-\x1f]'
+
+
+def envelope_cells(column: pa.Array, kind: T.DataType) -> pa.Array:
+    """The payloads of the nodes of a column, without quotes around numbers; null stays null."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        tag = TAG[type(kind)]
+        x = column.fill_null(0).to_numpy(zero_copy_only=False)
+        alike = (np.abs(x) >= 1e-3) & (np.abs(x) < 1e9) | (x == 0) if tag == "f64" else np.zeros(len(x), bool)  # where Arrow writes the same digits
+        texts = pc.cast(column, pa.string())
+        if (round_ := alike & (x == np.floor(x))).any():
+            texts = pc.if_else(pa.array(round_), pc.binary_join_element_wise(texts, ".0", ""), texts)
+        if alike.all():
+            return texts
+        texts, valid = texts.to_pylist(), column.is_valid().to_pylist()
+        for k in np.flatnonzero(~alike).tolist():
+            texts[k] = V.float_name(tag, V.single(x[k]) if tag == "f32" else float(x[k])) if valid[k] else None
+        return pa.array(texts, pa.string())
+    if isinstance(kind, T.StringType):
+        column = column.cast(pa.string())
+        odd = pc.match_substring_regex(column, NEEDS_ESCAPE).fill_null(False)
+        if pc.any(odd).as_py():
+            own = pa.array([json_text.quoted(x)[1:-1] for x in column.filter(odd).to_pylist()], pa.string())
+            column = pc.replace_with_mask(column, odd, own)
+        return column
+    return pc.cast(column, pa.string())
+
+
+def envelopes(schema: T.StructType) -> Callable[[pa.RecordBatch], pa.Array] | None:
+    """batch -> the envelope of each row, as value.to_envelope writes it; None where rows of this schema take the general way."""
+    if not len(schema) or not all(type(f.dataType) in TAG for f in schema):
+        return None
+
+    def run(batch: pa.RecordBatch) -> pa.Array:
+        parts = ['["m",[']
+        for k, (column, f) in enumerate(zip(batch.columns, schema)):
+            tag, cells = TAG[type(f.dataType)], envelope_cells(column, f.dataType)
+            quote = "" if tag == "b" else '"'
+            before, after = f'["{tag}",{quote}', f"{quote}]"
+            parts[-1] += ("," if k else "") + f'[["s",{json_text.quoted(f.name)}],'
+            if cells.null_count:
+                parts += [pc.fill_null(pc.binary_join_element_wise(before, cells, after, ""), '["n"]'), "]"]
+            else:
+                parts[-1] += before
+                parts += [cells, after + "]"]
+        parts[-1] += "]]"
+        return pc.binary_join_element_wise(*parts, "").cast(pa.string())
+
+    return run
+
+
+#: Numbers as they stand in a kind's node, all of them in its range, and floats as they are written.
+WITHIN = {
+    "i64": "-?[0-9]{1,19}", "u64": "[0-9]{1,19}", "u32": "[0-9]{1,9}|[1-3][0-9]{9}", "u16": "[0-9]{1,4}|[1-5][0-9]{4}", "u8": "[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]",
+    "i32": "-?(?:[0-9]{1,9}|1[0-9]{9}|20[0-9]{8})", "i16": "-?(?:[0-9]{1,4}|[12][0-9]{4})", "i8": "-?(?:[0-9]{1,2}|1[01][0-9]|12[0-7])",
+}
+FLOAT = r"-?[0-9]+(?:\.[0-9]+)?(?:e[-+]?[0-9]+)?|-?inf|NaN"
+TEXT = r'[^"\\\x00-\x1f]*(?:\\.[^"\\\x00-\x1f]*)*'
+TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{6})?"
+
+
+def node_pattern(kind: T.DataType) -> str | None:
+    """A node of the expected kind with its payload as a group, or null."""
+    if type(kind) in INTEGERS:
+        own = INTEGERS[type(kind)]  # its range is checked by the cast
+        tags = "|".join([own, *(f'{t}(?=","(?:{digits})")' for t, digits in WITHIN.items() if t != own)])
+        some = rf'\["(?:{tags})","(-?[0-9]+)"\]'
+    elif isinstance(kind, NUMBERS):
+        some = rf'\["f(?:64|32)","({FLOAT})"\]'
+    elif isinstance(kind, T.BooleanType):
+        some = r'\["b",(true|false)\]'
+    elif isinstance(kind, (T.StringType, T.TimestampNTZType)):
+        some = rf'\["s","({TEXT if isinstance(kind, T.StringType) else TIME})"\]'
+    else:
+        return None
+    return rf'(?:{some}|\["n"\])'
+
+
+def unescaped(text: str | None) -> str | None:
+    return text if text is None or "\\" not in text else json.loads(f'"{text}"')
+
+
+def payload_cells(cells: tuple, kind: T.DataType, t: pa.DataType) -> pa.Array:
+    if isinstance(kind, T.StringType):
+        return pa.array(map(unescaped, cells) if any(c is not None and "\\" in c for c in cells) else cells, t)
+    texts = pa.array(cells, pa.string())
+    if isinstance(kind, T.FloatType):
+        return texts.cast(pa.float64()).cast(t)
+    return texts.cast(t)
+
+
+def typed_envelopes(texts: list[str], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Envelopes as rows of the schema: runs of flat records with the schema's keys in their order by one pattern, others by the general way."""
+    nodes = [node_pattern(f.dataType) for f in schema]
+    if not nodes or None in nodes or len(set(schema.names)) < len(nodes):
+        yield from typed(map(V.from_envelope, texts), schema)
+        return
+    pattern = r'\["m",\[' + ",".join(rf'\[\["s",{re.escape(json_text.quoted(f.name))}\],{node}\]' for f, node in zip(schema, nodes)) + r"\]\]"
+    matches, at, arrow = list(map(re.compile(pattern).fullmatch, texts)), 0, to_arrow_schema(schema)
+    for fits, run in groupby(matches, bool):
+        run = list(run)
+        own, at, out = texts[at : at + len(run)], at + len(run), None
+        if fits:
+            try:
+                cells = zip(*[m.groups() for m in run])
+                out = [pa.RecordBatch.from_arrays([payload_cells(c, f.dataType, a.type) for c, f, a in zip(cells, schema, arrow)], schema=arrow)]
+            except (ValueError, pa.ArrowException):
+                pass
+        yield from typed(map(V.from_envelope, own), schema) if out is None else out
+
+
 # decoding
 
 
@@ -280,7 +397,6 @@ class Other(Exception):
     """A row of another shape than expected."""
 
 
-NUMBERS = (T.FloatType, T.DoubleType)
 READ = {
     "cbor": {
         "int": """

@@ -90,7 +90,7 @@ def decode(records: DataFrame, schema) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield from columnar.typed(map(V.from_envelope, batch.column(0).to_pylist()), schema)
+            yield from columnar.typed_envelopes(batch.column(0).to_pylist(), schema)
 
     return records.select("value").mapInArrow(run, schema)
 
@@ -99,15 +99,19 @@ def encode(df: DataFrame) -> DataFrame:
     """src, pos, value: the rows of df as envelopes, in no order that lasts; src tells the task."""
     df = _dates_as_text(df)
     schema = df.schema
+    columns = columnar.envelopes(schema)
 
     def run(batches):
         from pyspark import TaskContext
 
         src, pos, read = f"task-{TaskContext.get().partitionId():08d}", 0, [V.reader(f.dataType) for f in schema]
         for batch in batches:
-            cells = [list(map(f, c.to_pylist())) for c, f in zip(batch.columns, read)]
-            out = [V.to_envelope(("m", [(("s", f.name), x) for f, x in zip(schema, row)])) for row in zip(*cells)]
-            yield pa.RecordBatch.from_arrays([pa.array([src] * len(out)), pa.array(range(pos, pos + len(out)), pa.int64()), pa.array(out, pa.string())], names=["src", "pos", "value"])
+            if columns:
+                out = columns(batch)
+            else:
+                cells = [list(map(f, c.to_pylist())) for c, f in zip(batch.columns, read)]
+                out = pa.array([V.to_envelope(("m", [(("s", f.name), x) for f, x in zip(schema, row)])) for row in zip(*cells)], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(src, len(out)), pa.array(range(pos, pos + len(out)), pa.int64()), out], names=["src", "pos", "value"])
             pos += len(out)
 
     return df.mapInArrow(run, "src string, pos long, value string")

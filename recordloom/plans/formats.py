@@ -51,6 +51,11 @@ def through_files(name: str, fmt: str) -> Callable[[SparkSession, str], DataFram
     return query
 
 
+def cells(column: pa.Array) -> list:
+    """A column's cells; those of numbers by numpy, which is faster."""
+    return column.to_pylist() if column.null_count or pa.types.is_string(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def encodable(rows: DataFrame) -> DataFrame:
     """Times as text, as records hold them."""
     return rows.select([F.col(c).cast("string").alias(c) if t.startswith("timestamp") else F.col(c) for c, t in rows.dtypes])
@@ -198,7 +203,7 @@ def protobuf_nested_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = protobuf.Descriptors(descriptors).message(".shop.Line")
         for batch in batches:
             out = []
-            for order, part, supplier, number, quantity, price, discount, tax, flag, status in zip(*(c.to_pylist() for c in batch.columns)):
+            for order, part, supplier, number, quantity, price, discount, tax, flag, status in zip(*map(cells, batch.columns)):
                 m = kind(order=order, number=number, shipped=status, flag=flags.get(flag, 0), amounts=(quantity, price))
                 m.part.key, m.part.supplier = part, supplier
                 rates = m.rates

@@ -117,7 +117,7 @@ def display_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kinds_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many records of each kind an encoded table holds."""
-    return encode(table(spark, sf_dir, "lineitem")).groupBy(values.kind("value").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return encode(spread(table(spark, sf_dir, "lineitem"))).groupBy(values.kind("value").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 #: name: (table, format, options). Documents of one record take a block each.

@@ -132,3 +132,30 @@ message M { message P { int64 k = 1; optional string n = 2; P p = 3; } int64 i =
     for bad, text in ((b"\x08", ddl), (kind(u=2**63).SerializeToString(), ddl), (kind(i=2**40).SerializeToString(), "i int")):
         with pytest.raises(EngineError):
             list(columnar.protobuf_rows([*blocks, bad], kind, T.StructType.fromDDL(text), decode))
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_envelopes_by_columns_are_those_of_the_general_way(nulls):
+    rows = [tuple(math.nan if k == 7 and isinstance(x, float) else x for x in row) for k, row in enumerate(table(nulls=nulls))]
+    read = [V.reader(f.dataType) for f in SCHEMA]
+    want = [V.to_envelope(("m", [(("s", f.name), g(x)) for f, g, x in zip(SCHEMA, read, row)])) for row in rows]
+    got = columnar.envelopes(SCHEMA)(batch_of(rows)).to_pylist()
+    assert got == want
+    back = list(columnar.typed_envelopes(got, SCHEMA))
+    assert len(back) < 40  # whole runs, not single rows: only values beyond the pattern's ranges go the general way
+    general = [tuple(r.values()) for b in columnar.typed(map(V.from_envelope, got), SCHEMA) for r in b.to_pylist()]
+    assert repr([tuple(r.values()) for b in back for r in b.to_pylist()]) == repr(general)
+
+
+def test_odd_envelopes_take_the_general_way():
+    schema = fields(a="integer", c="string", t="timestamp_ntz", x="double")
+    e = lambda a, c='["s","x"]', t='["n"]', x='["n"]': f'["m",[[["s","a"],{a}],[["s","c"],{c}],[["s","t"],{t}],[["s","x"],{x}]]]'
+    odd = [
+        e('["i64","1"]'), e('["u8","255"]', '["c","é"]'), e('["u16","65535"]', '["i8","1"]'), e('["f64","3.0"]', r'["s","a\"\\é\n"]', '["s","2020-01-02T03:04:05.000006"]', '["u8","4"]'),
+        e('["n"]', '["s",""]', '["s","2020-01-02"]', '["f64","-inf"]'), '["m",[[["s","c"],["s","z"]],[["s","a"],["i8","-3"]]]]', '["q",[["i8","1"],["n"],["n"],["f32","0.1"]]]', e('["i32","-2147483648"]', x='["f64","1e-07"]'), e('["i64" , "5"]'),
+    ]
+    want = [tuple(r.values()) for b in columnar.typed(map(V.from_envelope, odd), schema) for r in b.to_pylist()]
+    assert [tuple(r.values()) for b in columnar.typed_envelopes(odd, schema) for r in b.to_pylist()] == want
+    for bad in (e('["i64","2147483648"]'), e('["u8","256"]'), e('["u8","-1"]'), e('["i8","200"]'), e('["i64","1"]', t='["s","2020-13-02T03:04:05.000006"]')):
+        with pytest.raises(EngineError):
+            list(columnar.typed_envelopes([odd[0], bad], schema))
