@@ -75,13 +75,13 @@ def file_raw_roundtrip_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_raw_split_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of files that are entered in their middle."""
     path = scratch(spark, "files-raw")
-    write_records(strings(table(spark, sf_dir, "customer"), "c_name"), "raw", path)
+    write_records(strings(spread(table(spark, sf_dir, "customer").select("c_name")), "c_name"), "raw", path)
     return read_records(spark, "raw", path, split_bytes=1000).select(values.display("value").alias("c_name"))
 
 
 def file_avro_split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Avro files that are entered at their sync markers."""
-    rows, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), scratch(spark, "files-avro")
+    rows, path = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")), scratch(spark, "files-avro")
     write_records(encode(rows), "avro", path, schema=avro.schema_of(rows.schema), codec="snappy")
     return decode(read_records(spark, "avro", path, split_bytes=50_000), rows.schema)
 
@@ -102,7 +102,7 @@ def file_toml_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcode_json_to_messagepack_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, path = table(spark, sf_dir, "customer"), scratch(spark, "files-transcoded")
+    rows, path = spread(table(spark, sf_dir, "customer")), scratch(spark, "files-transcoded")
     write_records(encode(rows), "json", f"{path}/json")
     transcode(spark, "json", f"{path}/json", "messagepack", f"{path}/messagepack")
     return decode(read_records(spark, "messagepack", f"{path}/messagepack"), rows.schema)
@@ -119,7 +119,7 @@ def pump_props_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                 raise RuntimeError("the pump stopped")
             yield pa.RecordBatch.from_arrays([pa.array(back.getvalue().decode().splitlines(), pa.string())], names=["line"])
 
-    return table(spark, sf_dir, "events").select("props").mapInArrow(run, "line string")
+    return spread(table(spark, sf_dir, "events").select("props")).mapInArrow(run, "line string")
 
 
 def json_styles_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,18 +128,18 @@ def json_styles_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def to_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    rows = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"))
     return encode(rows).select(values.to_json("value").alias("line"))
 
 
 def csv_cells_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and booleans in cells."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_size") > 25).alias("large"))
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", "p_size", "p_retailprice", (F.col("p_size") > 25).alias("large"))
     return decode_blocks(encode_rows(rows, "csv", rows_as="sequence"), "csv", rows.schema)
 
 
 def cbor_bytes_roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("text").cast("binary").alias("text"))
     return decode_blocks(encode_rows(rows, "cbor", byte_strings=True), "cbor", rows.schema).select("doc_id", F.col("text").cast("string").alias("text"))
 
 
@@ -156,7 +156,7 @@ def raw_line_ends_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer")
+    rows = spread(table(spark, sf_dir, "customer"))
     name = F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("c_name")
     key = F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("c_nationkey")
     return rows.select("c_custkey", name, key, F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("c_acctbal"))
@@ -179,7 +179,7 @@ def null_display_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def float_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many 32-bit and 64-bit floats the record of each vector holds."""
-    rows = encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("label")))
+    rows = encode(spread(table(spark, sf_dir, "embeddings")).select("vec_id", "embedding", F.col("label").cast("double").alias("label")))
     count = lambda tag: F.size(F.regexp_extract_all("value", F.lit(f'\\["({tag})"'))).cast("long")
     return rows.select(F.regexp_extract("value", r'\["i64","([0-9]+)"\]', 1).cast("long").alias("vec_id"), count("f32").alias("n_f32"), count("f64").alias("n_f64"))
 

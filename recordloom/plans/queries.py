@@ -43,7 +43,7 @@ def roundtrip(name: str, fmt: str, **options) -> Callable[[SparkSession, str], D
 
 
 def json_compact_text_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    rows = spread(table(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     text = encode_rows(rows, "json", rows_per_block=1)
     return text.select(F.regexp_replace(F.col("block").cast("string"), r"\n\z", "").alias("line"))
 
@@ -57,7 +57,7 @@ def json_props_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_values_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same text through the record decoder, as blocks."""
-    return decode_blocks(table(spark, sf_dir, "events").select(F.col("props").cast("binary").alias("block")), "json", "k int").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return decode_blocks(spread(table(spark, sf_dir, "events").select("props")).select(F.col("props").cast("binary").alias("block")), "json", "k int").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 def raw_roundtrip_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def envelope_roundtrip_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messagepack_bytes_roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("text").cast("binary").alias("text"))
     return decode_blocks(encode_rows(rows, "messagepack"), "messagepack", rows.schema).select("doc_id", F.col("text").cast("string").alias("text"))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from .. import value as V
 from ..codecs import encoder
@@ -34,7 +34,7 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-class RecordWriter(DataSourceWriter):
+class RecordWriter(DataSourceArrowWriter):
     """A file for each task, written aside and named when the job commits: an attempt that fails leaves nothing behind."""
 
     def __init__(self, options: dict, overwrite: bool):
@@ -46,7 +46,7 @@ class RecordWriter(DataSourceWriter):
         keys = {"schema": "schema", "codec": "codec", "style": "style", "byte_strings": "bytestrings"}
         return encoder(self.fmt, {k: self.options[o] for k, o in keys.items() if o in self.options})(values)
 
-    def write(self, rows) -> Written:
+    def write(self, batches) -> Written:
         from pyspark import TaskContext
 
         context = TaskContext.get()
@@ -57,9 +57,9 @@ class RecordWriter(DataSourceWriter):
 
         def values():
             nonlocal n
-            for row in rows:
-                n += 1
-                yield V.from_envelope(row["value"])
+            for batch in batches:
+                n += batch.num_rows
+                yield from map(V.from_envelope, batch.column("value").to_pylist())
 
         with fs.open_output_stream(aside) as out:
             for piece in self.encode(values()):

@@ -6,6 +6,7 @@ import io
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -21,8 +22,8 @@ from ..errors import FormatError
 ENVELOPE = "src string, pos long, value string"
 #: Formats whose files are dealt out in parts.
 SPLIT = {"avro": avro.decode_split, "raw": raw.decode_split}
-#: Records of an Arrow batch.
-BATCH = 2_000
+#: Records of an Arrow batch, and bytes of the parts of files that one task reads.
+BATCH, TASK = 2_000, 32 << 20
 
 
 def read_records(spark: SparkSession, fmt: str, path, *, split_bytes: int | None = None, **options) -> DataFrame:
@@ -31,7 +32,8 @@ def read_records(spark: SparkSession, fmt: str, path, *, split_bytes: int | None
     Spark lists the files. Where pyarrow's file systems reach them too they are opened in the tasks and read as records are
     needed, so a file may be of any size; from other stores Spark hands over whole files, of up to 2 GB. Of most formats a stream can't be
     entered in its middle: a file is one task's work. With split_bytes, Avro files are dealt out by their sync markers and plain
-    text by its line ends, in parts of about so many bytes, and pos is a place in bytes and not a number. Bad input fails the job.
+    text by its line ends, in parts of about so many bytes, and pos is a place in bytes and not a number. Where there are many more parts than
+    cores a task takes several, up to TASK bytes, and those that follow each other in one go. Bad input fails the job.
     """
     decoder(fmt, options)  # bad options fail here
     listed = spark.read.format("binaryFile").load(path)
@@ -43,18 +45,32 @@ def read_records(spark: SparkSession, fmt: str, path, *, split_bytes: int | None
         raise FormatError("only files that pyarrow opens are split")
     ends = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest("length", F.lit(1)) - 1, F.lit(split_bytes).cast("long")), lambda lo: F.struct(lo.alias("lo"), (lo + split_bytes).alias("hi")))
     parts = listed.select("path", F.explode(ends).alias("part")).select("path", "part.*")
-    n = parts.count()
-    dealt = parts.repartitionByRange(max(1, min(n, 100_000)), "path", "lo")
+    n, size = parts.agg(F.count(F.lit(1)), F.sum(F.lit(split_bytes))).head()
+    tasks = min(n, max(2 * spark.sparkContext.defaultParallelism, (size or 0) // TASK))
+    dealt = parts.repartitionByRange(max(1, tasks), "path", "lo").sortWithinPartitions("path", "lo")
 
     def run(batches):
-        for batch in batches:
-            for src, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
-                with opened(src) as file:
-                    yield from placed(src, SPLIT[fmt](file, lo, hi))
+        for src, lo, hi in joined(zip(*(c.to_pylist() for c in batch.columns)) for batch in batches):
+            with opened(src) as file:
+                yield from placed(src, SPLIT[fmt](file, lo, hi))
 
     return dealt.mapInArrow(run, ENVELOPE)
 
 
+def joined(batches) -> Iterator[tuple[str, int, int]]:
+    """Parts in their order, those of a file that follow each other as one."""
+    held = None
+    for src, lo, hi in chain.from_iterable(batches):
+        if held and held[0] == src and held[2] == lo:
+            held = (src, held[1], hi)
+        else:
+            if held:
+                yield held
+            held = (src, lo, hi)
+    if held:
+        yield held
+
+
 def file_system(path: str):
     """pyarrow's file system of a path as Spark names it, and the path as it takes it."""
     from pyarrow import fs

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recordloom import api
 from recordloom import value as V
 from recordloom.plans import queries as plans
+from recordloom.plans.formats import spread
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -129,3 +130,30 @@ def test_the_entry_works_without_the_llm_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) == set(q) and not any(k.startswith('op') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
     assert importlib.util.find_spec("recordloom.plans")
+
+
+def test_parts_of_a_file_share_tasks_and_keep_their_places(spark, tmp_path):
+    lines = [f"line {k}" for k in range(2_000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("x\n")
+    rows = api.read_records(spark, "raw", str(tmp_path), split_bytes=10)
+    assert rows.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    got = [(r.pos, V.from_envelope(r.value)[1]) for r in rows.where("src like '%a.txt'").orderBy("pos").collect()]
+    assert [t for _, t in got] == lines and [p for p, _ in got][:3] == [0, 7, 14]
+    assert rows.count() == 2_001
+    (tmp_path / "none").mkdir()
+    assert api.read_records(spark, "raw", str(tmp_path / "none"), split_bytes=10).count() == 0
+
+
+def test_a_table_of_one_row_group_is_dealt_out_however_many_splits_it_has(spark, tmp_path):
+    spark.range(200_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")  # many splits, one of which holds the rows
+    try:
+        rows = spark.read.parquet(str(tmp_path / "t"))
+        assert rows.rdd.getNumPartitions() >= 4
+        assert max(len(p) for p in spread(rows).rdd.glom().collect()) < 100_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    even = spark.range(1000).repartition(4)
+    assert spread(even) is even
