@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,12 +11,13 @@ from pyspark.sql import types as T
 
 from .. import value as V
 from ..codecs import avro, decoder, encoder, protobuf
+from ..shared import bound_batches
 from ..sinks.records import write_records
 from ..sources.records import read_records
 from . import columnar
 
-#: Rows of an encoded block.
-BLOCK = 4_000
+#: Rows of an encoded block, and bytes of the rows that are encoded together.
+BLOCK, PIECE = 4_000, 2 << 20
 
 
 def _schema(schema) -> T.StructType:
@@ -32,8 +35,19 @@ def _dates_as_text(df: DataFrame) -> DataFrame:
     return df.select(out)
 
 
+def pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut into so many rows, and into halves while they hold more than PIECE bytes."""
+    for lo in range(0, batch.num_rows, rows):
+        part = batch.slice(lo, rows)
+        if part.num_rows > 1 and part.nbytes > PIECE:
+            yield from pieces(part, (part.num_rows + 1) // 2)
+        else:
+            yield part
+
+
 def encode_rows(df: DataFrame, fmt: str, *, rows_as: str = "map", **options) -> DataFrame:
-    """block (binary): the rows of df, each as a map by column name or, with rows_as="sequence", without names, BLOCK to a block.
+    """block (binary): the rows of df, each as a map by column name or, with rows_as="sequence", without names, BLOCK to a block, or
+    fewer where they are long: PIECE bytes, or one longer row.
 
     A block is a file's content. Formats of one document to a file (toml, yaml by choice) take rows_per_block=1.
     """
@@ -42,18 +56,19 @@ def encode_rows(df: DataFrame, fmt: str, *, rows_as: str = "map", **options) ->
     if fmt == "avro":
         options.setdefault("schema", avro.schema_of(schema))
     encoder(fmt, options)
+    bound_batches(df.sparkSession)
     columns = columnar.encoder(fmt, schema, options) if rows_as == "map" else None
 
     def by_columns(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(columns(batch, per), pa.binary())], names=["block"])
+            for part in pieces(batch, max(1, batch.num_rows)):
+                yield pa.RecordBatch.from_arrays([pa.array(columns(part, per), pa.binary())], names=["block"])
 
     def run(batches):
         encode = encoder(fmt, options)
         names, read = [("s", f.name) for f in schema], [V.reader(f.dataType) for f in schema]
         for batch in batches:
-            for lo in range(0, batch.num_rows, per):
-                part = batch.slice(lo, per)
+            for part in pieces(batch, per):
                 cells = [list(map(f, c.to_pylist())) for c, f in zip(part.columns, read)]
                 if rows_as == "sequence":
                     values = [("q", list(row)) for row in zip(*cells)]
@@ -68,6 +83,7 @@ def decode_blocks(blocks: DataFrame, fmt: str, schema, **options) -> DataFrame:
     """Typed rows of the records in a binary column named block."""
     schema = _schema(schema)
     decoder(fmt, options)
+    bound_batches(blocks.sparkSession)
     by_columns = columnar.decodable(fmt, schema, options)
 
     def run(batches):
@@ -87,6 +103,7 @@ def decode_blocks(blocks: DataFrame, fmt: str, schema, **options) -> DataFrame:
 def decode(records: DataFrame, schema) -> DataFrame:
     """Typed columns of envelope rows: the columns are the record's keys, or its elements in order."""
     schema = _schema(schema)
+    bound_batches(records.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -98,6 +115,7 @@ def decode(records: DataFrame, schema) -> DataFrame:
 def encode(df: DataFrame) -> DataFrame:
     """src, pos, value: the rows of df as envelopes, in no order that lasts; src tells the task."""
     df = _dates_as_text(df)
+    bound_batches(df.sparkSession)
     schema = df.schema
     columns = columnar.envelopes(schema)
 

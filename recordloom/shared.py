@@ -24,3 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Bytes of an Arrow batch on its way to a Python worker; Spark's own bound is 10,000 rows of any size.
+BATCH = 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python workers hold at most BATCH bytes, or one longer row. The bound stays in the session; one that it has already is left as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH))

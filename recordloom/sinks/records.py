@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from .. import value as V
 from ..codecs import encoder
 from ..errors import FormatError
+from ..shared import bound_batches
 
 EXTENSIONS = {"json": "json", "csv": "csv", "raw": "txt", "avro": "avro", "cbor": "cbor", "messagepack": "msgpack", "toml": "toml", "yaml": "yaml"}
 
@@ -114,6 +115,7 @@ def write_records(records: DataFrame, fmt: str, path: str, *, ordered: bool = Tr
     encoder(fmt, options)  # bad options fail here
     if ordered:
         records = records.orderBy("src", "pos")
+    bound_batches(records.sparkSession)
     records.sparkSession.dataSource.register(RecordSink)
     names = {"byte_strings": "bytestrings"}
     given = {names.get(k, k): str(v) for k, v in options.items() if v not in (None, False)}

@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -157,3 +158,15 @@ def test_a_table_of_one_row_group_is_dealt_out_however_many_splits_it_has(spark,
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     even = spark.range(1000).repartition(4)
     assert spread(even) is even
+
+
+def test_blocks_and_batches_are_bounded_by_bytes(spark):
+    rows = spark.range(64).coalesce(1).select("id", F.expr("cast(repeat('x', 500000) as binary)").alias("text"))
+    for fmt, options in (("cbor", {"byte_strings": True}), ("messagepack", {})):
+        blocks = api.encode_rows(rows, fmt, **options)
+        assert max(r[0] for r in blocks.select(F.length("block")).collect()) < 3_000_000
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"]) for b in batches)
+        assert max(r["size"] for r in blocks.mapInArrow(sizes, "size long, n long").collect()) < 8_000_000
+        back = api.decode_blocks(blocks, fmt, rows.schema)
+        assert max(r["size"] for r in back.mapInArrow(sizes, "size long, n long").collect()) < 8_000_000
+        assert back.select("id", F.length("text")).distinct().count() == 64
