@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -58,3 +59,18 @@ def test_columns(spark):
     assert V.to_column(v, kind) == (7, "x", [0.5], {"k": 1}, b"\x01\xff", None)
     with pytest.raises(FormatError):
         V.to_column(("m", [(("s", "a"), ("u64", 2**40))]), kind)
+
+
+def test_the_short_way_of_envelopes_is_the_long_one():
+    s = lambda x: ("s", x)
+    values = [("m", [(s("a"), ("i64", 1)), (s("b"), s("é"))]), ("m", [(s("a"), ("f64", 0.5)), (s("a"), ("f32", 0.5))]), ("m", []), ("m", [(s("a"), V.UNIT)]), ("m", [(s("a"), ("m", [(s("b"), ("i8", 1))])), (s("c"), s("d"))])]
+    values += [("m", [(s("a"), ("q", [("m", [(s("b"), ("u8", 1))])]))]), ("m", [(s("a\n"), s('"]],[["s","'))]), ("m", [(("i8", 1), s("x")), (s("b"), ("b", True))]), ("q", [s("x")])]
+    for v in values:
+        text = V.to_envelope(v)
+        assert text == json.dumps(V.to_node(v), ensure_ascii=False, separators=(",", ":"))
+        assert V.from_envelope(text) == v == V.from_node(json.loads(text))
+    for bad in ('["m",[[["s","a"],["u8","256"]]]]', '["m",[[["s","a"],["i8","1"]]x[["s","b"],["i8","1"]]]]', '["m",[[["s","a"],["i8","x"]]]]'):
+        with pytest.raises((FormatError, ValueError)):
+            V.from_envelope(bad)
+    found = V.PAIR(V.to_envelope(values[0]))
+    assert found == [("a", "i64", "1"), ("b", "s", "é")]
